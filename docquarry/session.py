@@ -29,3 +29,25 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, **extra:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the supplied Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to workers of a session whose own path lacks it, once per session."""
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if getattr(context, "_docquarry_shipped", False) or not (root / "docquarry").is_dir():
+        return
+    context._docquarry_shipped = True
+    inherited = context.environment.get("PYTHONPATH", "") + os.pathsep + context._jvm.System.getenv().getOrDefault("PYTHONPATH", "")
+    if str(root) in inherited.split(os.pathsep):
+        return
+    archive = os.path.join(tempfile.mkdtemp(), "docquarry.zip")  # the driver serves it to the executors
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.glob("docquarry/**/*.py")):
+            z.write(p, p.relative_to(root))
+    context.addPyFile(archive)
