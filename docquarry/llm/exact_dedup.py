@@ -98,7 +98,7 @@ class CountingQuotientFilter:
 
 def segments(fingerprints: np.ndarray, seg_bits: int) -> Iterator[tuple[int, CountingQuotientFilter]]:
     """A partition's filter cut at the leading seg_bits bits, empty segments left out."""
-    q_bits = min(63, max(seg_bits, int(len(fingerprints)).bit_length()))
+    q_bits = min(63, max(1, seg_bits, int(len(fingerprints)).bit_length()))
     whole = CountingQuotientFilter.build(fingerprints, q_bits=q_bits)
     span = 1 << (q_bits - seg_bits)
     ends = np.cumsum(whole.runs.reshape(-1, span).sum(axis=1, dtype=np.int64))

@@ -97,6 +97,7 @@ class Discriminant:
     """Two Gaussians with shrunk covariances; their Cholesky factors are kept inverted."""
 
     def __init__(self, counts: np.ndarray, means: np.ndarray, covariances: np.ndarray, pooled: float = POOLED, identity: float = IDENTITY):
+        covariances = covariances + 1e-6 * np.eye(covariances.shape[1])  # constant statistics, and what rounding leaves of them
         both = (counts[:, None, None] * covariances).sum(axis=0) / counts.sum()
         self.scale = np.sqrt(np.diag(both)) + 1e-3
         self.means = means / self.scale
