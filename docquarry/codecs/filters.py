@@ -255,6 +255,10 @@ def decode_one(data: bytes, name: str, params: dict | None = None, limit: int =
         return _with_predictor(lzw_decode(data, int(params.get("EarlyChange", 1)), limit), params)
     if name == "RunLengthDecode":
         return run_length_decode(data, limit)
+    if name == "CCITTFaxDecode":
+        from docquarry.codecs.fax import fax_decode
+
+        return fax_decode(data, int(params.get("Columns", 1728)), int(params.get("Rows", 0)), bool(params.get("BlackIs1", False)), int(params.get("K", 0)))
     if name == "DCTDecode" or name == "Crypt" and params.get("Name", "Identity").lstrip("/") == "Identity":
         return data  # pictures are passed on as they are
     raise FilterError(f"filter {name} is not supported", data)

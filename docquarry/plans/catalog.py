@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docquarry import rules
 from docquarry.codecs import escapes, filters
 from docquarry.functions import columns as c
-from docquarry.operators import graph, scan, stats, versions
+from docquarry.operators import analysis, graph, scan, stats, versions
 from docquarry.session import table
 from docquarry.sources import pdf
 
@@ -344,10 +344,10 @@ def xref_gap_fill(spark, d):
     return versions.gaps(table(spark, d, "orders").where("o_orderkey % 7 <> 0"), "o_orderkey")
 
 
-@query(_PARTS + " SELECT conv_id, turn, lag(start) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM p")
+@query(_PARTS + " SELECT conv_id, turn, coalesce(lag(start) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS prev FROM p")
 def prev_chain(spark, d):
     """W7."""
-    return versions.previous(_parts(spark, d), ["conv_id"], ["turn"], "start", "prev").select("conv_id", "turn", "prev")
+    return versions.previous(_parts(spark, d), ["conv_id"], ["turn"], "start", "prev").select("conv_id", "turn", F.coalesce("prev", F.lit(-1)).cast("long").alias("prev"))
 
 
 @query("SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, o_orderstatus AS value, o_orderkey IS NULL AS missing FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 5 <> 0) ON o_orderkey = l_orderkey")
@@ -538,3 +538,48 @@ def pdf_uris(spark, d):
 def pdf_xref(spark, d):
     """Cross-reference entries of generated files."""
     return pdf.parsed(_pdfs(spark, d), "xref_entries").select("file_id", "version", "object_id", "kind")
+
+
+@query(f"SELECT doc_id AS file_id, v AS version, object_id, CASE WHEN v = 0 THEN 'added' ELSE 'modified' END AS change FROM (SELECT doc_id, v, CAST(unnest(CASE WHEN v = 0 THEN [1, 2, 3, 4, 5, 6] ELSE [4] END) AS INTEGER) AS object_id FROM (SELECT doc_id, CAST(unnest(CASE WHEN {_FIVE} THEN [0, 1] ELSE [0] END) AS INTEGER) AS v FROM documents))")
+def pdf_changelog(spark, d):
+    """What each version of generated files changed."""
+    files = _pdfs(spark, d)
+    return analysis.changelog(pdf.parsed(files, "objects"), pdf.parsed(files, "xref_entries"))
+
+
+@query(f"SELECT doc_id AS file_id, coalesce(v, -1) AS version, CAST(CASE WHEN v = 0 THEN 6 WHEN v = 1 THEN 1 WHEN {_FIVE} THEN 7 ELSE 6 END AS BIGINT) AS objects, CAST(CASE WHEN v IS NULL AND {_FIVE} THEN 2 ELSE 1 END AS BIGINT) AS streams, CAST(CASE WHEN v = 1 THEN 1 WHEN v IS NULL AND {_FIVE} THEN 1 + (doc_id % 4 <> 0)::INT ELSE (doc_id % 4 <> 0)::INT END AS BIGINT) AS encoded FROM (SELECT doc_id, CAST(unnest(CASE WHEN {_FIVE} THEN [0, 1, NULL] ELSE [0, NULL] END) AS INTEGER) AS v FROM documents)")
+def pdf_counts(spark, d):
+    """A1, A2: counters per version, and over versions."""
+    files = _pdfs(spark, d)
+    return analysis.version_counts(pdf.parsed(files, "objects"), pdf.parsed(files, "streams")).select("file_id", F.coalesce("version", F.lit(-1)).alias("version"), "objects", "streams", "encoded")
+
+
+@query("SELECT doc_id AS file_id, CAST(unnest([1, 2, 3, 4, 5, 6]) AS INTEGER) AS node, CAST(unnest([0, 1, 2, 3, -1, 3]) AS INTEGER) AS depth, CAST(unnest([-1, 1, 2, 3, -1, 3]) AS INTEGER) AS parent, unnest(['/Catalog', '/Pages', '/Page', 'stream', 'dictionary', '/Annot']) AS label FROM documents")
+def pdf_tree(spark, d):
+    """The logical tree of generated files."""
+    files = _pdfs(spark, d)
+    found = analysis.tree(pdf.parsed(files, "objects"), pdf.parsed(files, "edges"), pdf.parsed(files, "trailers"))
+    return found.select("file_id", "node", *[F.coalesce(x, F.lit(-1)).alias(x) for x in ("depth", "parent")], "label")
+
+
+@query(f"SELECT doc_id AS file_id, CAST(unnest(CASE WHEN {_FIVE} THEN [0, 1] ELSE [0] END) AS INTEGER) AS version, '/Title' AS key, lang || '-' || source AS value FROM documents")
+def pdf_metadata(spark, d):
+    """The information dictionary of each version."""
+    files = _pdfs(spark, d)
+    return analysis.metadata(pdf.parsed(files, "dict_entries"), pdf.parsed(files, "trailers"))
+
+
+@query("SELECT doc_id AS file_id, 0 AS version, '3' AS ids FROM documents")
+def pdf_search(spark, d):
+    """P10: ids per version of the objects that hold a text."""
+    files = _pdfs(spark, d)
+    found = analysis.search_objects(pdf.parsed(files, "objects"), pdf.parsed(files, "streams"), "/mediabox")
+    return found.select("file_id", "version", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query("SELECT doc_id AS file_id, true AS same FROM documents")
+def pdf_save_version(spark, d):
+    """K6: the first version cut out of each file parses to the six first objects."""
+    files = _pdfs(spark, d)
+    first = analysis.up_to_version(files, pdf.parsed(files, "versions"), 0)
+    return pdf.parsed(first, "objects").groupBy("file_id").agg((F.count(F.lit(1)) == 6).alias("same"))

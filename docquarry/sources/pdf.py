@@ -15,7 +15,7 @@ SCHEMAS = {
     "files": "file_id long, size long, md5 string, sha1 string, sha256 string, pdf_version string, header_offset long, binary boolean, linearized boolean, encrypted boolean, updates int, errors array<string>",
     "versions": "file_id long, version int, offset long, length long",
     "objects": "file_id long, version int, object_id int, gen int, offset long, size long, obj_type string, dict_type string, value string, md5 string, sha1 string, compressed_in int, errors array<string>",
-    "dict_entries": "file_id long, version int, object_id int, key string, value_type string, value string",
+    "dict_entries": "file_id long, version int, object_id int, path string, key string, value_type string, value string",
     "streams": "file_id long, version int, object_id int, raw binary, decoded binary, filters array<string>, declared_length long, real_length long, faulty boolean, text string",
     "edges": "file_id long, version int, src_id int, ord int, dst_id int, dst_gen int, origin string",
     "xref_entries": "file_id long, version int, object_id int, kind string, offset long, gen int, in_stream boolean",
@@ -44,7 +44,7 @@ def _rows(table: str, file_id: int, f: pdf_syntax.File) -> Iterator[tuple]:
             data = value.encode("latin-1", "replace")
             yield file_id, o.version, o.object_id, o.gen, o.offset, o.size, o.kind, o.dict_type, value, hashlib.md5(data).hexdigest(), hashlib.sha1(data).hexdigest(), o.compressed_in, o.errors
         elif table == "dict_entries":
-            yield from ((file_id, o.version, o.object_id, k, v[0], pdf_syntax.text_of(v)) for k, v in o.entries.items())
+            yield from ((file_id, o.version, o.object_id, path, k, v[0], pdf_syntax.text_of(v)) for path, k, v in _entries(o.value))
         elif table == "streams" and o.stream is not None:
             declared = o.entries.get("/Length", ("null", None))
             decoded = o.decoded if o.decoded is not None else b""
@@ -55,6 +55,20 @@ def _rows(table: str, file_id: int, f: pdf_syntax.File) -> Iterator[tuple]:
             yield from ((file_id, o.version, o.object_id, u) for u in _uris(o.value))
 
 
+def _entries(value, path: str = "", depth: int = 0) -> Iterator[tuple]:
+    """(path, key, value) of a value's dictionaries, inner ones too; array places are numbers in the path."""
+    if value is None or depth > pdf_syntax.DEPTH:
+        return
+    kind, inner = value
+    if kind == "dictionary":
+        for k, v in inner.items():
+            yield path + k, k, v
+            yield from _entries(v, path + k, depth + 1)
+    elif kind == "array":
+        for i, v in enumerate(inner):
+            yield from _entries(v, f"{path}/{i}", depth + 1)
+
+
 def _uris(value, depth: int = 0) -> Iterator[str]:
     if value is None or depth > pdf_syntax.DEPTH:
         return

@@ -74,3 +74,26 @@ def test_unescape_calls_follow_variables():
 
 def test_variables_that_refer_to_themselves_end():
     assert escapes.variable_content("a = b + 'x'; b = a;", "a").strip("x") == ""
+
+
+def test_fax_codes_are_prefix_free():
+    from docquarry.codecs import fax
+
+    for codes in fax.CODES:
+        every = sorted([*codes.values(), fax._END_OF_LINE])
+        assert len(every) == 64 + 27 + 13 + 1
+        assert not any(b.startswith(a) for a, b in zip(every, every[1:], strict=False))
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 400), min_size=1, max_size=12), max_size=6), st.booleans())
+def test_fax_rows_come_back(runs, black_is_1):
+    from docquarry.codecs import fax
+
+    rows = [[(i % 2) for i, n in enumerate(r) for _ in range(n)] for r in runs]
+    width = max(map(len, rows), default=8)
+    rows = [r + [0] * (width - len(r)) for r in rows]
+    out = filters.decode_one(fax.fax_encode(rows), "CCF", {"Columns": width, "BlackIs1": black_is_1})
+    size = (width + 7) // 8
+    got = [[int(b) for byte in out[i * size : (i + 1) * size] for b in f"{byte:08b}"][:width] for i in range(len(rows))]
+    assert got == [[v if black_is_1 else 1 - v for v in r] for r in rows] and len(out) == size * len(rows)

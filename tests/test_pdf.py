@@ -124,3 +124,26 @@ def test_folder_as_a_stream(spark, tmp_path):
             (tmp_path / "in" / "b.pdf").write_bytes(small(update=b"x"))
         dropfolder.into_tables(dropfolder.arriving(spark, str(tmp_path / "in")), str(tmp_path / "out"), checkpoint=str(tmp_path / "c")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out" / "files")).count() == 1 + more
+
+
+def test_scripts_and_findings(spark):
+    from docquarry.operators import analysis
+
+    body = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /OpenAction << /S /JavaScript /JS 2 0 R >> >>\nendobj\n"
+    code = b"<script>var a = util.printf; function f(x) { return eval(x); } f(a);</script>"
+    body += b"2 0 obj\n<< /Length %d >>\nstream\n" % len(code) + code + b"\nendstream\nendobj\n3 0 obj\n<< /JS (app.alert\\(getIcon\\)) >>\nendobj\ntrailer\n<< /Root 1 0 R >>\nstartxref\n0\n%%EOF\n"
+    files = spark.createDataFrame([(1, bytearray(body))], "file_id long, content binary")
+    t = {n: pdf.parsed(files, n) for n in pdf.SCHEMAS}
+    scripts = analysis.javascript(t["objects"], t["dict_entries"], t["streams"])
+    assert {(r.object_id, r.origin) for r in scripts.collect()} == {(2, "referred"), (3, "string")}
+    found = analysis.findings(t["objects"], t["streams"], scripts)
+    assert {(r.object_id, r.token) for r in found.collect()} == {(1, "/OpenAction"), (1, "/JavaScript"), (1, "/JS"), (2, "util.printf"), (3, "/JS"), (3, "getIcon")}
+    text = analysis.report(t["files"], t["objects"], t["streams"], found).first().report
+    assert '"encrypted":false' in text and '"util.printf"' in text
+    assert {r.object_id for r in analysis.changelog(t["objects"], t["xref_entries"]).where("change = 'incoherent'").collect()} == {1, 2, 3}
+    assert analysis.unresolved(t["edges"], t["objects"]).count() == 0
+    assert analysis.error_counts(t["objects"]).count() == 0
+    places = analysis.physical_map(t["objects"]).collect()
+    assert all(body[r.start : r.stop].endswith(b"endobj") for r in places)
+    verdicts = spark.createDataFrame([(t["files"].first().md5, 3, 1, 4, 0)], "md5 string, malicious int, suspicious int, undetected int, harmless int")
+    assert analysis.with_reputation(t["files"], verdicts).first().detection == 3 / 8
