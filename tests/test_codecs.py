@@ -97,3 +97,29 @@ def test_fax_rows_come_back(runs, black_is_1):
     size = (width + 7) // 8
     got = [[int(b) for byte in out[i * size : (i + 1) * size] for b in f"{byte:08b}"][:width] for i in range(len(rows))]
     assert got == [[v if black_is_1 else 1 - v for v in r] for r in rows] and len(out) == size * len(rows)
+
+
+def jj_encode(text, name="$"):
+    """What such encoders write: letters by members, other characters by octal or Unicode escapes made of digits."""
+    from docquarry.codecs import jj
+
+    digit = {f"{i:x}": f"{name}.{m}" for i, m in enumerate(jj._DIGITS)}
+    known = {v: f"{name}.{k}" for k, v in jj._LETTERS.items()} | {"l": f'(![]+"")[{name}._$_]'} | {c: digit[c] for c in "abcdef"}
+    parts = []
+    for ch in text:
+        if ch in known:
+            parts.append(known[ch])
+        elif ord(ch) < 128:
+            parts.append('"\\\\"+' + "+".join(digit[d] for d in f"{ord(ch):03o}"))
+        else:
+            parts.append('"\\\\"+' + known["u"] + "+" + "+".join(digit[d] for d in f"{ord(ch):04x}"))
+    return f'{name}=~[];{name}={{___:++{name},$$$$:(![]+"")[{name}]}};{name}.$({name}.$({name}.$$+"\\""+' + "".join(p + "+" for p in parts) + '"\\"")())();'
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.characters(max_codepoint=0xFFFF, exclude_categories=("Cs",)), max_size=40), st.sampled_from(["$", "_a"]))
+def test_jj_comes_back(text, name):
+    from docquarry.codecs.jj import jj_decode
+
+    assert jj_decode("x=1;" + jj_encode(text, name)) == text
+    assert jj_decode(text) is None
