@@ -76,6 +76,42 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_mixing": r"""
+        WITH d AS (
+          SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+        ), s AS (
+          SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+        ), r AS (
+          SELECT source, source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w, CAST(3 * source_size AS DOUBLE) AS cap FROM s
+        ), l AS (
+          SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS k,
+                 (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+                 / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
+        ), t AS (
+          SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(cap, coalesce(w * (SELECT arg_min(level, k) FROM l WHERE cap / w >= level), cap)) END AS target FROM l
+        ), q AS (
+          SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS rate,
+                 CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / CAST(1::BIGINT << 52 AS DOUBLE) AS u
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST((floor(rate) + CAST(u < rate - floor(rate) AS INT)) * size AS BIGINT) AS taken FROM q
+    """,
+    "op4_embedding_dedup": r"""
+        WITH RECURSIVE v AS (
+          SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), p AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reach(node, root) AS (
+          SELECT vec_id, vec_id FROM v UNION SELECT p.b, r.root FROM reach r JOIN p ON p.a = r.node
+        ), n AS (
+          SELECT a, count(*) AS n_links FROM p GROUP BY a
+        ), c AS (
+          SELECT node, min(root) AS root FROM reach GROUP BY node
+        )
+        SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN c ON node = vec_id
+    """,
     "op8_line_dedup": r"""
         WITH lines AS (
           SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents

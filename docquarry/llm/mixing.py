@@ -57,9 +57,10 @@ def _with_rates(sized: DataFrame, rates: DataFrame, n_sources: int) -> DataFrame
     return salted.join(spread, F.col("source").eqNullSafe(F.col("s_")) & (F.col("salt_") == F.col("t_")), "left").drop("salt_", "s_", "t_")
 
 
-def draw(seed: int, *columns: str) -> Column:
-    """A number in [0, 1) from a hash of the columns; the same on every run."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double") / F.lit(float(1 << 53))
+def draw(seed: int, doc_id: str) -> Column:
+    """A number in [0, 1) from the md5 of seed and id; the same on every run, and in any SQL engine. A null id counts as none."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
 def mix_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_rate: float = MAX_RATE, seed: int = SEED) -> DataFrame:

@@ -272,3 +272,40 @@ def test_mix(spark, monkeypatch):
 def test_mix_runs_no_python(spark):
     plan = mixing.mix_copies(documents(spark, ["a b", "c"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 255)), min_size=1, max_size=120, unique=True), st.integers(1, 40), st.sampled_from([4, 25, 4096]))
+def test_groups_that_go_on_in_the_next_batch(rows, batch_rows, chunk_rows):
+    """Whatever the batches and chunks, links and left-over chunks hold all close pairs of each key."""
+    import pyarrow as pa
+
+    rows = sorted((k, v * 0x0101010101010101 % 2**63) for k, v in rows)
+    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), pa.array([v for _, v in part], pa.int64())], ["key", "fp"]) for i in range(0, len(rows), batch_rows) if (part := rows[i : i + batch_rows])]
+    links, chunks = set(), defaultdict(lambda: defaultdict(list))
+    for out in simhash._linker(4, chunk_rows)(iter(batches)):
+        for kind, key, chunk, a, b in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            if kind:
+                chunks[key][chunk].append(a)
+            else:
+                links.add((a, b))
+    for key in {k for k, _ in rows}:
+        members = [v for k, v in rows if k == key]
+        if key in chunks:
+            assert sorted(x for part in chunks[key].values() for x in part) == members and all(len(p) <= chunk_rows for p in chunks[key].values())
+            continue
+        roots = groups_brute(members, 4)
+        parent = {m: m for m in members}
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            if a in parent and b in parent:
+                parent[root(a)] = root(b)
+        for i, a in enumerate(members):
+            for j in range(i):
+                if roots[i] == roots[j]:
+                    assert root(a) == root(members[j])
