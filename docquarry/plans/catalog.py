@@ -491,8 +491,8 @@ def chain_roundtrip(spark, d):
     return back.select("doc_id", F.md5("r.bytes").alias("h"), F.col("r.error").cast("string").alias("error"))
 
 
-def _pdfs(spark, d) -> DataFrame:
-    return pdf.generated(table(spark, d, "documents"), file_id="doc_id", payload="text", uri=F.concat(F.lit("http://example.org/"), F.col("doc_id").cast("string")), title=F.concat_ws("-", "lang", "source"))
+def _pdfs(spark, d, password: bytes | None = None) -> DataFrame:
+    return pdf.generated(table(spark, d, "documents"), file_id="doc_id", payload="text", uri=F.concat(F.lit("http://example.org/"), F.col("doc_id").cast("string")), title=F.concat_ws("-", "lang", "source"), password=password)
 
 
 _FIVE = "doc_id % 5 = 0"
@@ -583,3 +583,9 @@ def pdf_save_version(spark, d):
     files = _pdfs(spark, d)
     first = analysis.up_to_version(files, pdf.parsed(files, "versions"), 0)
     return pdf.parsed(first, "objects").groupBy("file_id").agg((F.count(F.lit(1)) == 6).alias("same"))
+
+
+@query(f"SELECT doc_id AS file_id, 0 AS version, md5(encode(text)) AS h FROM documents UNION ALL SELECT doc_id, 1, md5(encode('updated ' || text)) FROM documents WHERE {_FIVE}")
+def pdf_decrypt(spark, d):
+    """Streams of encrypted files, opened with the password."""
+    return pdf.parsed(_pdfs(spark, d, b"secret"), "streams", password=b"secret").select("file_id", "version", F.md5("decoded").alias("h"))

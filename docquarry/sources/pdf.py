@@ -113,11 +113,11 @@ def read_files(spark: SparkSession, path: str, *, glob: str = "*.pdf") -> DataFr
     return found.select(F.xxhash64("path").alias("file_id"), "path", "content")
 
 
-def generated(df: DataFrame, *, file_id: str, payload: str, uri: Column, title: Column) -> DataFrame:
-    """(file_id, content): one PDF per row, filters by id modulo 4; each fifth has an update that redefines the stream."""
+def generated(df: DataFrame, *, file_id: str, payload: str, uri: Column, title: Column, password: bytes | None = None) -> DataFrame:
+    """(file_id, content): one PDF per row, filters by id modulo 4; each fifth has an update that redefines the stream. A password encrypts."""
     @F.pandas_udf("binary")
     def make(i: pd.Series, p: pd.Series, u: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([pdf_writer.build((b or "").encode(), chain=list(pdf_writer.CHAINS[k % 4]), uri=x or "", title=y or "", update=b"updated " + (b or "").encode() if k % 5 == 0 else None) for k, b, x, y in zip(i, p, u, t, strict=True)], dtype=object)
+        return pd.Series([pdf_writer.build((b or "").encode(), chain=list(pdf_writer.CHAINS[k % 4]), uri=x or "", title=y or "", update=b"updated " + (b or "").encode() if k % 5 == 0 else None, password=password) for k, b, x, y in zip(i, p, u, t, strict=True)], dtype=object)
 
     return df.select(F.col(file_id).cast("long").alias("file_id"), make(file_id, payload, uri, title).alias("content"))
 

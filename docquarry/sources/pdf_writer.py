@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from docquarry.codecs import filters
 from docquarry.codecs.escapes import escape_string
+from docquarry.sources import pdf_crypto
 
 CHAINS = ([], ["FlateDecode"], ["ASCIIHexDecode", "FlateDecode"], ["RunLengthDecode"])
 
 
-def _stream(payload: bytes, chain: list[str]) -> bytes:
-    data = filters.encode(payload, chain)
+def _stream(payload: bytes, chain: list[str], secret=bytes) -> bytes:
+    data = secret(filters.encode(payload, chain))
     names = f"/Filter [ {' '.join('/' + n for n in chain)} ] " if chain else ""
     return f"<< {names}/Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream"
 
 
-def build(payload: bytes, *, chain: list[str], uri: str, title: str = "", update: bytes | None = None, encrypt=None) -> bytes:
-    """Catalog, pages, page, content stream, information, link; with update, a second version that redefines the stream."""
+def build(payload: bytes, *, chain: list[str], uri: str, title: str = "", update: bytes | None = None, password: bytes | None = None, owner: bytes = b"owner") -> bytes:
+    """Catalog, pages, page, content stream, information, link; with update, a second version that redefines the stream.
+
+    With a password, strings and streams are encrypted by RC4 with 128 bits.
+    """
+    hidden, entry = (lambda _: bytes), None
+    if password is not None:
+        file_id = hashlib.md5(payload).digest()
+        o = pdf_crypto.owner_entry(owner, password, 3, 16)
+        key = pdf_crypto.file_key(password, o, -4, file_id, 3, 16)
+        hidden = lambda n: lambda data: pdf_crypto.rc4(data, pdf_crypto.object_key(key, n, 0, False))
+        entry = f"<< /Filter /Standard /V 2 /R 3 /Length 128 /P -4 /O <{o.hex()}> /U <{pdf_crypto.user_entry(key, file_id, 3).hex()}> >>"
+
+    def string(text: str, n: int) -> str:
+        return f"({escape_string(text)})" if entry is None else f"<{hidden(n)(text.encode('latin-1', 'replace')).hex()}>"
+
     page = "<< /Type /Page /Parent 2 0 R /MediaBox [ 0 0 612 792 ] /Contents 4 0 R /Annots [ 6 0 R ] >>"
-    link = f"<< /Type /Annot /Subtype /Link /Rect [ 0 0 9 9 ] /A << /Type /Action /S /URI /URI ({escape_string(uri)}) >> >>"
-    bodies = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [ 3 0 R ] /Count 1 >>", page.encode("latin-1"), _stream(payload, chain), f"<< /Title ({escape_string(title)}) >>".encode("latin-1", "replace"), link.encode("latin-1", "replace")]
+    link = f"<< /Type /Annot /Subtype /Link /Rect [ 0 0 9 9 ] /A << /Type /Action /S /URI /URI {string(uri, 6)} >> >>"
+    bodies = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [ 3 0 R ] /Count 1 >>", page.encode("latin-1"), _stream(payload, chain, hidden(4)), f"<< /Title {string(title, 5)} >>".encode("latin-1", "replace"), link.encode("latin-1", "replace")]
+    more = ""
+    if entry is not None:
+        bodies.append(entry.encode())
+        more = f" /Encrypt 7 0 R /ID [ <{file_id.hex()}> <{file_id.hex()}> ]"
     out = bytearray(b"%PDF-1.4\n%\xe2\xe3\xcf\xd3\n")
     places = []
     for i, body in enumerate(bodies, 1):
@@ -26,10 +47,10 @@ def build(payload: bytes, *, chain: list[str], uri: str, title: str = "", update
         out += f"{i} 0 obj\n".encode() + body + b"\nendobj\n"
     table = len(out)
     out += f"xref\n0 {len(bodies) + 1}\n0000000000 65535 f \n".encode() + b"".join(f"{p:010d} 00000 n \n".encode() for p in places)
-    out += f"trailer\n<< /Size {len(bodies) + 1} /Root 1 0 R /Info 5 0 R >>\nstartxref\n{table}\n%%EOF\n".encode()
+    out += f"trailer\n<< /Size {len(bodies) + 1} /Root 1 0 R /Info 5 0 R{more} >>\nstartxref\n{table}\n%%EOF\n".encode()
     if update is not None:
         place = len(out)
-        out += b"4 0 obj\n" + _stream(update, ["FlateDecode"]) + b"\nendobj\n"
+        out += b"4 0 obj\n" + _stream(update, ["FlateDecode"], hidden(4)) + b"\nendobj\n"
         second = len(out)
-        out += f"xref\n4 1\n{place:010d} 00000 n \ntrailer\n<< /Size {len(bodies) + 1} /Root 1 0 R /Info 5 0 R /Prev {table} >>\nstartxref\n{second}\n%%EOF\n".encode()
+        out += f"xref\n4 1\n{place:010d} 00000 n \ntrailer\n<< /Size {len(bodies) + 1} /Root 1 0 R /Info 5 0 R /Prev {table}{more} >>\nstartxref\n{second}\n%%EOF\n".encode()
     return bytes(out)

@@ -147,3 +147,14 @@ def test_scripts_and_findings(spark):
     assert all(body[r.start : r.stop].endswith(b"endobj") for r in places)
     verdicts = spark.createDataFrame([(t["files"].first().md5, 3, 1, 4, 0)], "md5 string, malicious int, suspicious int, undetected int, harmless int")
     assert analysis.with_reputation(t["files"], verdicts).first().detection == 3 / 8
+
+
+def test_encrypted_round_trip():
+    data = small(update=b"second", password=b"p")
+    assert b"Hi" not in data and b"example" not in data
+    f = pdf_syntax.parse(data, password=b"p")
+    assert f.encrypted and not f.errors
+    assert [o.decoded for o in f.objects if o.stream is not None] == [b"BT (Hi \\(you\\)) Tj ET", b"second"]
+    assert [u for o in f.objects for u in pdf._uris(o.value)] == ["http://example.org/(x)"]
+    assert pdf_syntax.parse(data, password=b"owner").objects[3].decoded.startswith(b"BT")
+    assert "password does not fit" in pdf_syntax.parse(data).errors
