@@ -31,6 +31,8 @@ MAGIC = b"TKB1"
 BLOCK_IDS = 1 << 18
 #: Text bytes for each file, about.
 FILE_BYTES = 24 << 20
+#: Documents that a worker encodes before it hands their ids on.
+SLICE = 256
 _HEAD = struct.Struct("<4sBBIIIQ")
 
 
@@ -103,10 +105,12 @@ def blocks(data: bytes) -> Iterator[Block]:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, END_ID).encode
-        for batch in batches:
-            wide = [np.frombuffer(encode(t), "<u4") for t in batch.column(1).to_pylist()]
-            slim = [x.astype("<u2").tobytes() if len(x) and x.max() < 1 << 16 else x.tobytes() for x in wide]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in wide], pa.int64()), pa.array(slim, pa.binary()), batch.column(2)], ["doc_id", "n", "ids", "bucket"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                wide = [np.frombuffer(encode(t), "<u4") for t in batch.column(1).to_pylist()]
+                slim = [x.astype("<u2").tobytes() if len(x) and x.max() < 1 << 16 else x.tobytes() for x in wide]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in wide], pa.int64()), pa.array(slim, pa.binary()), batch.column(2)], ["doc_id", "n", "ids", "bucket"])
 
     return run
 

@@ -18,14 +18,14 @@ import regex
 
 END_ID = 2
 #: Pieces in the younger half of what a worker remembers; those not met while it fills are forgotten.
-REMEMBER = 500_000
+REMEMBER = 300_000
 
 # fixed values: the patterns by which the two public vocabularies split a text before their merges
 _BYTE_PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _WORD_PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-_WHITE = str.maketrans("\t\n\v\f\r", "     ")
+_WHITE = "\t\n\v\f\r"
 _BEYOND = re.compile("[\u0130\u0250-\U0010ffff]").search
-_SIGNS = re.compile(r"[^\w\s][^\w\s]|['_]").search
+_SIGNS = re.compile(r"[^\w ][^\w ]|['_]").search
 
 
 def _byte_letters() -> dict[int, str]:
@@ -82,7 +82,9 @@ class Encoder:
             return array("I", self.ids(text)).tobytes() + self.end
         if self.core is not None:
             return array("I", self.core(text)).tobytes() + self.end
-        text = text.translate(_WHITE)
+        for c in _WHITE:
+            if c in text:
+                text = text.replace(c, " ")
         if not _BEYOND(text):
             text = text.lower()
             if not _SIGNS(text):  # commas and full stops stand alone then
