@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquarry.llm import scratch
+from docquarry.llm.mixing import draw
 from docquarry.llm.text import id_remainder, raw
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: Labelled documents that become examples, at most, of either class: the classifier's documented bound.
+#: Labelled documents that become examples, of either class: all up to so many, else a share by hash that gives about so many.
+#: The classifier's documented bound.
 EXAMPLES = 3000
 #: Terms of the vocabulary, at most, and what one must show: examples that have it, chi-square, log odds ratio.
 TERMS, SUPPORT, CHI_SQUARE, LOG_ODDS = 20_000, 4, 20.0, 2.0
@@ -146,8 +148,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles = {b" ".join(x) for x in zip(words, words[1:], words[2:], strict=False)} or {b" ".join(words)}
             h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
             least[i] = np.array([h.min(), (h * np.uint64(0x9E3779B97F4A7C15)).min()], np.uint64).view(np.int64)
-        y = batch.column(batch.schema.get_field_index("y"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), y, pa.array(least[:, 0]), pa.array(least[:, 1])], ["doc_id", "y", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least[:, 0]), pa.array(least[:, 1])], ["doc_id", "h1", "h2"])
 
 
 def _idf(total: float, df: int) -> float:
@@ -155,7 +156,7 @@ def _idf(total: float, df: int) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> Voter | None:
-    """A voter over at most examples documents of either class, those with the smallest hash of the id.
+    """A voter over about examples documents of either class, or all if there are fewer, chosen by a hash of the id.
 
     The vocabulary is chosen on those by association with the label. Both it and
     the examples' vectors over it are bounded; they are what the driver gets.
@@ -164,20 +165,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
     known = known.where(id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
-    # copies and near copies would make their chance words look like evidence: one of each stays, by two least shingle hashes
-    sketched = scratch.keep(rows.join(known, "doc_id").mapInArrow(_sketches, "doc_id long, y int, h1 long, h2 long"), "sketches")
+    # copies and near copies would make their chance words look like evidence: one of each stays, by two least shingle
+    # hashes; they are taken of every text where it lies, so that only slim rows are joined
+    sketched = rows.mapInArrow(_sketches, "doc_id long, h1 long, h2 long").join(known, "doc_id").select("doc_id", "y", "h1", "h2")
     for h in ("h1", "h2"):
         sketched = sketched.groupBy(h).agg(F.min(F.struct("doc_id", "y", "h1", "h2")).alias("r")).select("r.*")
     known = scratch.keep(sketched.select("doc_id", "y").distinct(), "known")
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
-    order = [F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id")]
-    chosen = known.where("y = 0").orderBy(*order).limit(examples).unionByName(known.where("y = 1").orderBy(*order).limit(examples))
+    # a share by hash, not the first so many: nothing is ranked, and the driver gets no candidates
+    share = F.when(F.col("y") == 1, F.lit(examples / sizes[1])).otherwise(F.lit(examples / sizes[0]))
+    chosen = scratch.keep(known.where(draw(11, "doc_id") < share), "chosen")
+    n0, n1 = (max(1, n) for n in chosen.agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).first())
     # of rows that repeat an id, one text
     texts = scratch.keep(rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "examples")
     found = scratch.keep(texts.mapInArrow(_terms_of(), "doc_id long, y int, term binary, n long"), "terms")
-    n0, n1 = min(examples, sizes[0]), min(examples, sizes[1])
     by_term = found.groupBy("term").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("df")).where(f"df >= {SUPPORT}").withColumn("c", F.col("df") - F.col("a"))
     total = float(n0 + n1)
     chi = F.lit(total) * F.pow(F.col("a") * F.lit(float(n0)) - F.col("c") * F.lit(float(n1)), 2) / (F.lit(float(n0) * n1) * F.col("df") * (F.lit(total + 1) - F.col("df")))
