@@ -102,7 +102,8 @@ def blocks(data: bytes) -> Iterator[Block]:
         at = block.end + 1  # the line feed
 
 
-def _encode(path: str):
+def _encode(path: str, cuts: np.ndarray):
+    """Ids of each text, and its file: the number of cuts at or below the id; null ids in the last."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, END_ID).encode
         for whole in batches:
@@ -110,7 +111,8 @@ def _encode(path: str):
                 batch = whole.slice(at, SLICE)
                 wide = [np.frombuffer(encode(t), "<u4") for t in batch.column(1).to_pylist()]
                 slim = [x.astype("<u2").tobytes() if len(x) and x.max() < 1 << 16 else x.tobytes() for x in wide]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in wide], pa.int64()), pa.array(slim, pa.binary()), batch.column(2)], ["doc_id", "n", "ids", "bucket"])
+                bucket = [len(cuts) if i is None else int(np.searchsorted(cuts, i, side="right")) for i in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in wide], pa.int64()), pa.array(slim, pa.binary()), pa.array(bucket, pa.int32())], ["doc_id", "n", "ids", "bucket"])
 
     return run
 
@@ -152,25 +154,14 @@ def write_tokens(docs: DataFrame, path: str, to: str, *, id_col: str = "doc_id",
     size = rows.agg(F.sum(F.octet_length("text")).alias("s"), F.count(F.lit(1)).alias("n")).first()
     files = max(1, (size["s"] or 0) // FILE_BYTES + 1)
     cuts = rows.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 20 * files).alias("c")).first()["c"] if files > 1 else []
-    cuts = sorted(set(cuts or []))
-    bucket = F.lit(len(cuts))
-    if cuts:  # files beyond the first whose bound is reached
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(_place(cuts))
-    encoded = rows.withColumn("bucket", bucket.cast("int")).mapInArrow(_encode(path), "doc_id long, n long, ids binary, bucket int")
+    cuts = np.array(sorted(set(cuts or [])), np.int64)
+    encoded = rows.mapInArrow(_encode(path, cuts), "doc_id long, n long, ids binary, bucket int")
     dealt = encoded.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "n", "ids")
     bits = bits_for(encoder(path, END_ID).vocabulary())
     packed = dealt.mapInArrow(_packer(bits), "block binary")
     packed.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(to)
 
 
-def _place(cuts: list[int], first: int = 0):
-    """The number of cuts at or below the id, by halving."""
-    if not cuts:
-        return F.lit(first)
-    mid = len(cuts) // 2
-    return F.when(F.col("doc_id") < cuts[mid], _place(cuts[:mid], first)).otherwise(_place(cuts[mid + 1 :], first + mid + 1))
-
-
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):

@@ -18,7 +18,7 @@ import regex
 
 END_ID = 2
 #: Pieces in the younger half of what a worker remembers; those not met while it fills are forgotten.
-REMEMBER = 300_000
+REMEMBER = 150_000
 
 # fixed values: the patterns by which the two public vocabularies split a text before their merges
 _BYTE_PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
