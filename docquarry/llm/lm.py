@@ -3,13 +3,15 @@
 Both learn from every training document. The byte model is a trie of contexts up
 to ORDER bytes with the counts of what follows; an unseen symbol pays the escape
 (seen symbols over count plus seen symbols) and goes to the next shorter context,
-where the symbols just ruled out no longer count. Counting is distributed and
-covers all rows; the trie that is sent to the executors keeps at most NODES nodes,
-those with the largest counts, and so has a fixed bound.
+where the symbols just ruled out no longer count. The model is whole and stays
+partitioned: chunks of text send their distinct codes to it by bucket and get back
+a probability for each. Only contexts of up to LOW bytes, of which there are at most
+256 ** LOW whatever the input, are broadcast.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,12 +29,16 @@ from docquarry.llm.text import id_remainder, raw
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of context at most.
 ORDER = 5
-#: Trie nodes (context and symbol) that executors hold, at most: 16 bytes each.
+#: Bytes of context whose counts every task holds: longer contexts lie by their last LOW + 1 bytes.
+LOW = 2
+#: Codes of the model that one task walks for codes it lacks, about.
 NODES = 2_000_000
 #: Bytes of text in a chunk whose counts are sent on together.
 CHUNK = 16 << 20
 #: Counted bytes for each bucket of a merge, about.
 BUCKET = 6 << 20
+#: Bytes of text whose codes are sorted together.
+GROUP = 1 << 20
 _START, _END = 9, 10  # white space is one space inside, so both are free
 
 _U8, _U56 = np.uint64(8), np.uint64(56)
@@ -64,9 +70,13 @@ def codes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes of every order, the context's length in the top byte, with counts."""
-    values, counts = np.unique(code, return_counts=True)
+    return shortened(*np.unique(code, return_counts=True))
+
+
+def shortened(values: np.ndarray, counts: np.ndarray, top: int = ORDER, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of order top, or longer and then cut, with counts, to those of orders top to least, the order in the top byte."""
     out_v, out_c = [], []
-    for order in range(ORDER, -1, -1):
+    for order in range(top, least - 1, -1):
         if order < ORDER:
             shorter = values & np.uint64((1 << (8 * (order + 1))) - 1)
             sort = np.argsort(shorter, kind="stable")
@@ -94,9 +104,11 @@ def _mix(v: np.ndarray) -> np.ndarray:
 
 def _by_bucket(key: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """Positions of each bucket (leading bits of key), ascending by key within it."""
+    if not len(key):
+        return
     order = np.argsort(key, kind="stable")
     bucket = (key[order] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(key) else []
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
         yield int(bucket[a]), order[a:b]
 
@@ -152,23 +164,15 @@ class Trie:
         out[left] -= np.log10(np.maximum(256 - gone_seen[left], 1))
         return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each normalised text with its end."""
-        sums = np.zeros(len(texts))
-        ends = np.cumsum([len(t) + ORDER + 1 for t in texts])
-        group: list[int] = []
-        size = 0
-        for i, t in enumerate(texts):
-            group.append(i)
-            size += len(t) + ORDER + 1
-            if size > 4 << 20 or i == len(texts) - 1:
-                code, at = codes(joined([texts[g] for g in group]))
-                values, back = np.unique(code, return_inverse=True)
-                starts = np.concatenate(([0], np.cumsum([len(texts[g]) + ORDER + 1 for g in group])[:-1]))
-                sums[group] = np.add.reduceat(self.log10(values)[back], np.searchsorted(at, starts))
-                group, size = [], 0
-        assert len(ends) == len(texts)
-        return sums
+
+def _groups(texts: list[bytes]) -> Iterator[slice]:
+    """Runs of texts of about GROUP bytes."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) + ORDER + 1
+        if size > GROUP or i == len(texts) - 1:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
 
 
 def _batches(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[tuple[list, list[bytes]]]:
@@ -190,61 +194,89 @@ def _batches(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[tuple[lis
         yield rows, texts
 
 
-def _count_grams(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _batches(batches, 1):
-            values, counts = counted(codes(joined(texts))[0])
-            found = [(b, values[i].tobytes(), counts[i].astype("<u4").tobytes()) for b, i in _by_bucket(_mix(values), bits)]
-            columns = list(zip(*found, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["bucket", "v", "c"])
+def _in_buckets(values: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions of each bucket, which holds all symbols of its contexts, ascending."""
+    for b, i in _by_bucket(_mix(values >> _U8), bits):
+        yield b, np.sort(i)
+
+
+def _merge_low(group: pd.DataFrame) -> pd.DataFrame:
+    v, c = merged([np.frombuffer(x, "<u8") for x in group["a"]], [np.frombuffer(x, "<u4") for x in group["b"]])
+    return pd.DataFrame({"v": [v.astype("<u8").tobytes()], "c": [c.astype("<i8").tobytes()]})
+
+
+def _merge_grams(bits: int):
+    """Over a bucket's codes of all chunks. Kind 0: log10 of each of a chunk's codes, nan where no training row has it; kind 1: the
+    merged counts, and kind 2 a chunk's codes without one, both by their last LOW + 1 bytes of context."""
+
+    def suffixes(v: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        return _by_bucket(_mix((v >> _U8) & np.uint64((1 << (8 * (LOW + 1))) - 1)), bits)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(x, "<u8") for x in group["a"]]
+        v, c = merged(parts, [np.frombuffer(x, "<u4") for x in group["b"]])
+        logs = np.full(len(v), np.nan)
+        known = np.flatnonzero(c)
+        tv, tc = v[known], c[known]
+        if len(tv):
+            context = tv >> _U8
+            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+            seen = np.diff(np.concatenate((first, [len(tv)])))
+            logs[known] = np.log10(tc / np.repeat(np.add.reduceat(tc, first) + seen, seen))
+        out = []
+        bucket = int(group["bucket"].iloc[0])
+        for chunk, p in zip(group["chunk"], parts, strict=True):
+            found = logs[np.searchsorted(v, p)]
+            out.append((0, chunk, bucket, b"", found.astype("<f8").tobytes()))
+            missed = p[np.isnan(found)]
+            out += [(2, chunk, b, missed[i].astype("<u8").tobytes(), b"") for b, i in suffixes(missed)]
+        out += [(1, -1, b, tv[i].astype("<u8").tobytes(), tc[i].astype("<i8").tobytes()) for b, i in suffixes(tv)]
+        return pd.DataFrame(out, columns=["kind", "chunk", "bucket", "a", "b"])
 
     return run
 
 
-def _merge_grams(group: pd.DataFrame) -> pd.DataFrame:
-    v, c = merged([np.frombuffer(x, "<u8") for x in group["v"]], [np.frombuffer(x, "<u4") for x in group["c"]])
-    sizes = np.bincount(np.minimum(np.log2(c).astype(int), 62), minlength=63) if len(c) else np.zeros(63, int)
-    return pd.DataFrame({"v": [v.astype("<u8").tobytes()], "c": [c.astype("<i8").tobytes()], "sizes": [sizes.tolist()]})
+def _walk(low):
+    """log10 of codes that no training row has, by the shorter contexts: all that end in the same LOW + 1 bytes are here, low has the rest."""
 
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        asked = group[group["kind"] == 2]
+        parts = [np.frombuffer(x, "<u8") for x in asked["a"]]
+        if not parts:
+            return pd.DataFrame({"chunk": [], "bucket": [], "a": [], "b": []})
+        model = group[group["kind"] == 1]
+        empty = [np.zeros(0, np.uint64)]
+        v, c = merged([np.frombuffer(x, "<u8") for x in model["a"]] or empty, [np.frombuffer(x, "<i8") for x in model["b"]] or empty)
+        v, c = shortened(v.astype(np.uint64), c, least=LOW + 1)
+        trie = Trie(np.concatenate((v, low.value[0])), np.concatenate((c, low.value[1])))
+        distinct = np.unique(np.concatenate(parts))
+        logs = trie.log10(distinct)
+        return pd.DataFrame({"chunk": asked["chunk"], "bucket": asked["bucket"], "a": asked["a"], "b": [logs[np.searchsorted(distinct, p)].astype("<f8").tobytes() for p in parts]})
+
+    return run
 
-def learn_trie(training: DataFrame, size: int, nodes: int = NODES) -> Trie:
-    """training (doc_id, text) to the trie; size is its number of text bytes."""
-    bits = max(3, (size // BUCKET).bit_length())
-    parts = training.mapInArrow(_count_grams(bits), "bucket int, v binary, c binary")
-    table = scratch.keep(parts.groupBy("bucket").applyInPandas(_merge_grams, "v binary, c binary, sizes array<long>"), "grams")
-    sizes = table.select(F.posexplode("sizes").alias("power", "n")).groupBy("power").agg(F.sum("n").alias("n")).collect()  # 63 rows
-    by_power = {r["power"]: r["n"] for r in sizes}
-    least, total = 63, 0
-    while least and total + by_power.get(least - 1, 0) <= nodes:
-        least -= 1
-        total += by_power.get(least, 0)
-    floor = 1 << least
-
-    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for v, c in zip(raw(batch, "v"), raw(batch, "c"), strict=True):
-                v, c = np.frombuffer(v, "<u8"), np.frombuffer(c, "<i8")
-                out.append((v[c >= floor].tobytes(), c[c >= floor].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in out], pa.binary()), pa.array([c for _, c in out], pa.binary())], ["v", "c"])
 
-    kept = table.select("v", "c").mapInArrow(trim, "v binary, c binary").collect()  # nodes * 16 bytes at most
-    scratch.drop(table)
-    values = np.concatenate([np.frombuffer(r["v"], "<u8") for r in kept] or [np.zeros(0, np.uint64)]).astype(np.uint64)
-    counts = np.concatenate([np.frombuffer(r["c"], "<i8") for r in kept] or [np.zeros(0, np.int64)]).astype(np.int64)
-    return Trie(values, counts)
+def _distinct(rows: list[tuple], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all texts, ascending, with their counts in those that are not held out (0 for codes of held-out ones alone)."""
+    values, counts = [], []
+    for g in _groups(texts):
+        for held_out in (False, True):
+            v, c = np.unique(codes(joined([t for (_, h), t in zip(rows[g], texts[g], strict=True) if h is held_out]))[0], return_counts=True)
+            values.append(v)
+            counts.append(c * (not held_out))
+    return merged(values, counts)
 
 
-def _tokens(bits: int, trie):
-    """Kind 0: a document with its places among the chunk's words, and its model score; kind 1: a chunk's words of one bucket, ascending."""
+def _tokens(bits: int):
+    """Kind 0: a document, normalised, with its places among the chunk's words; of a chunk and one bucket, ascending, with training
+    counts, kind 1: words, kind 2: codes, kind 3: codes cut to LOW bytes of context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "chunk", "bucket", "doc_id", "held_out", "score", "a", "b"]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.float64(), pa.binary(), pa.binary()]
+        names = ["kind", "chunk", "bucket", "doc_id", "held_out", "text", "a", "b"]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
         base = TaskContext.get().partitionId() << 24
         for number, (rows, texts) in enumerate(_batches(batches, 2)):
             chunk = base + number
-            scores = trie.value.score(texts)
             index: dict[bytes, int] = defaultdict()
             index.default_factory = index.__len__
             used = []
@@ -261,13 +293,19 @@ def _tokens(bits: int, trie):
             place = np.empty(len(hashes), np.uint32)
             place[np.argsort(hashes, kind="stable")] = np.arange(len(hashes), dtype=np.uint32)
             out = []
-            for (doc_id, held_out), (ids, n), score in zip(rows, used, scores, strict=True):
+            for (doc_id, held_out), (ids, n), text in zip(rows, used, texts, strict=True):
                 at = place[ids]
                 order = np.argsort(at)
                 steps = np.diff(at[order], prepend=np.uint32(0)).astype("<u4")
-                out.append((0, chunk, None, doc_id, held_out, float(score), steps.tobytes(), n[order].astype("<u4").tobytes()))
+                out.append((0, chunk, None, doc_id, held_out, *(zlib.compress(x, 1) for x in (text, steps.tobytes(), n[order].astype("<u4").tobytes()))))
             for b, i in _by_bucket(hashes, bits):
                 out.append((1, chunk, b, None, None, None, hashes[i].astype("<u8").tobytes(), counts[i].astype("<u4").tobytes()))
+            values, counts = _distinct(rows, texts)
+            for b, i in _in_buckets(values, bits):
+                out.append((2, chunk, b, None, None, None, values[i].astype("<u8").tobytes(), counts[i].astype("<u4").tobytes()))
+            values, counts = shortened(values[counts > 0], counts[counts > 0], LOW, LOW)
+            for b, i in _by_bucket(_mix(values), bits):
+                out.append((3, chunk, b, None, None, None, values[i].astype("<u8").tobytes(), counts[i].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return run
@@ -297,34 +335,63 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", no
 
     Words travel as 64-bit hashes, once per chunk of text and bucket; a chunk gets
     back the global counts of its own words, so no vocabulary is ever broadcast
-    and no word is a key of its own.
+    and no word is a key of its own. Codes of the byte model travel alike. What no
+    training row has is walked where the model's contexts of the same ending are;
+    nodes sets into how many such parts the model falls, and no result.
     """
     spark = docs.sparkSession
     doc_id = F.col(id_col).cast("long")
     rows = docs.select(doc_id.alias("doc_id"), (id_remainder(doc_id, FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
-    trie = spark.sparkContext.broadcast(learn_trie(rows.where("not held_out").select("doc_id", "text"), size, nodes))
     bits = max(3, (size // BUCKET).bit_length())
-    made = rows.mapInArrow(_tokens(bits, trie), "kind int, chunk long, bucket int, doc_id long, held_out boolean, score double, a binary, b binary")
+    made = rows.mapInArrow(_tokens(bits), "kind int, chunk long, bucket int, doc_id long, held_out boolean, text binary, a binary, b binary")
     made = scratch.keep(made, "tokens", compression="zstd", partition_by="kind")
     words = made.where("kind = 1").select("chunk", "bucket", "a", "b")
     counts = scratch.keep(words.groupBy("bucket").applyInPandas(_merge_words, "chunk long, bucket int, counts binary, n long, v long"), "counts", compression="zstd")
     totals = counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_all, v_all = totals["n"] or 0, totals["v"] or 0
+    low = made.where("kind = 3").select("bucket", "a", "b").groupBy("bucket").applyInPandas(_merge_low, "v binary, c binary").collect()  # 256 ** (LOW + 1) codes at most
+    low = merged([np.frombuffer(r["v"], "<u8") for r in low] or [np.zeros(0, np.uint64)], [np.frombuffer(r["c"], "<i8") for r in low] or [np.zeros(0, np.int64)])
+    low = spark.sparkContext.broadcast(shortened(*low, LOW))
+    grams = made.where("kind = 2").select("chunk", "bucket", "a", "b")
+    wide = min(16, max(2, (size // (8 * nodes)).bit_length()))
+    grams = scratch.keep(grams.groupBy("bucket").applyInPandas(_merge_grams(wide), "kind int, chunk long, bucket int, a binary, b binary"), "grams", compression="zstd", partition_by="kind")
+    for kind in (1, 2, 3):  # read for the last time
+        scratch.drop(f"{made._docquarry_path}/kind={kind}", spark)
+    walked = grams.where("kind > 0").groupBy("bucket").applyInPandas(_walk(low), "chunk long, bucket int, a binary, b binary")
 
     def finish(documents: pa.Table, found: pa.Table) -> pa.Table:
-        found = found.sort_by("bucket")
-        c = np.concatenate([np.frombuffer(x, "<i8") for x in found["counts"].to_pylist()] or [np.zeros(0, np.int64)])
+        found = found.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        of_kind: dict[int, list[tuple[bytes, bytes]]] = {0: [], 1: [], 2: []}
+        for kind, a, b in zip(*(found[x].to_pylist() for x in ("kind", "a", "b")), strict=True):
+            of_kind[kind].append((a, b))
+        c = np.concatenate([np.frombuffer(x, "<i8") for _, x in of_kind[1]] or [np.zeros(0, np.int64)])
         logs = np.log10(c + 1.0)
         totals, known, base = [], [], []
         for a, b in zip(documents["a"].to_pylist(), documents["b"].to_pylist(), strict=True):
-            at, n = np.cumsum(np.frombuffer(a, "<u4")), np.frombuffer(b, "<u4").astype(np.int64)
+            at, n = np.cumsum(np.frombuffer(zlib.decompress(a), "<u4")), np.frombuffer(zlib.decompress(b), "<u4").astype(np.int64)
             totals.append(int(n.sum()))
             known.append(int(n[c[at] > 0].sum()))
             base.append(float((logs[at] * n).sum() - totals[-1] * np.log10(n_all + v_all + 1)))
-        columns = [documents["doc_id"], documents["held_out"], pa.array(totals, pa.int64()), pa.array(known, pa.int64()), pa.array([n_all] * len(totals), pa.int64()), pa.array(base, pa.float64()), documents["score"]]
+        texts = [zlib.decompress(t) for t in documents["text"].to_pylist()]
+        groups = []
+        for g in _groups(texts):
+            code, at = codes(joined(texts[g]))
+            ends = np.cumsum([len(t) + ORDER + 1 for t in texts[g]])
+            own, back = np.unique(code, return_inverse=True)
+            groups.append((own, back.astype(np.uint32), np.searchsorted(at, np.concatenate(([0], ends[:-1])))))
+        values = np.unique(np.concatenate([own for own, _, _ in groups]))
+        logs = np.full(len(values), np.nan)
+        logs[np.concatenate([i for _, i in _in_buckets(values, bits)])] = np.concatenate([np.frombuffer(x, "<f8") for _, x in of_kind[0]])
+        for v, x in of_kind[2]:
+            logs[np.searchsorted(values, np.frombuffer(v, "<u8"))] = np.frombuffer(x, "<f8")
+        assert not np.isnan(logs).any()
+        scores = np.concatenate([np.add.reduceat(logs[np.searchsorted(values, own)][back], starts) for own, back, starts in groups])
+        columns = [documents["doc_id"], documents["held_out"], pa.array(totals, pa.int64()), pa.array(known, pa.int64()), pa.array([n_all] * len(totals), pa.int64()), pa.array(base, pa.float64()), pa.array(scores)]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    documents = made.where("kind = 0").select("chunk", "doc_id", "held_out", "score", "a", "b").groupBy("chunk")
-    by_chunk = counts.where("chunk >= 0").select("chunk", "bucket", "counts").groupBy("chunk")
+    documents = made.where("kind = 0").select("chunk", "doc_id", "held_out", "text", "a", "b").groupBy("chunk")
+    of_words = counts.where("chunk >= 0").select(F.lit(1).alias("kind"), "chunk", "bucket", F.lit(b"").alias("a"), F.col("counts").alias("b"))
+    of_codes = grams.where("kind = 0").select("kind", "chunk", "bucket", "a", "b").unionByName(walked.select(F.lit(2).alias("kind"), "*"))
+    by_chunk = of_words.unionByName(of_codes).groupBy("chunk")
     return documents.cogroup(by_chunk).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -233,6 +233,14 @@ def test_probabilities_sum_to_one():
         assert (10 ** trie.log10(np.array([base + s for s in range(256)], np.uint64))).sum() == pytest.approx(1.0)
 
 
+def test_size_of_parts_changes_no_score(spark):
+    """With 40 nodes a part, rare contexts count as they do in one."""
+    rng = np.random.default_rng(2)
+    docs = frame(spark, [" ".join("".join(rng.choice(list("abcdefé"), 6)) for _ in range(20)) for _ in range(60)])
+    small, large = ({r.doc_id: r.score for r in lm.score(docs, nodes=n).collect()} for n in (40, 10**9))
+    assert small == pytest.approx(large)
+
+
 def test_small_tries_still_score(spark):
     docs = frame(spark, [f"some words {i} and others" for i in range(50)] + ["x" * 100_000])
     rows = lm.score(docs, nodes=40).collect()
