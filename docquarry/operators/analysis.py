@@ -104,7 +104,7 @@ def unresolved(edges: DataFrame, objects: DataFrame) -> DataFrame:
     return joined.where(F.col("since_").isNull() | (F.col("since_") > F.col("version"))).drop("since_")
 
 
-def tree(objects: DataFrame, edges: DataFrame, trailers: DataFrame, *, max_depth: int = 100) -> DataFrame:
+def tree(objects: DataFrame, edges: DataFrame, trailers: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """(file_id, node, depth, parent, label) of the newest objects, from each file's catalog; what it does not lead to has depth null."""
     key = lambda name: F.concat_ws("/", F.col("file_id").cast("string"), F.col(name).cast("string"))
     roots = trailers.where("root is not null").groupBy("file_id").agg(F.max_by("root", "version").alias("root")).select(key("root").alias("node"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Steps of reach after which what was reached is written anew as one table.
+STRIDE = 16
+
 
 def children(edges: DataFrame) -> DataFrame:
     """(src, ord, dst) to (src, children array<struct<ord, dst>>), in order; a node's own references bound the array."""
@@ -20,24 +25,35 @@ def references_to(edges: DataFrame) -> DataFrame:
     return edges.groupBy("dst").agg(F.count_distinct("src").alias("referrers"), F.min("src").alias("first_referrer"))
 
 
-def reach(edges: DataFrame, roots: DataFrame, *, max_depth: int = 100, write=None) -> DataFrame:
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """In the session's checkpoint folder; without one, on the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def reach(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None, write=None) -> DataFrame:
     """edges (src, dst), roots (node) to (node, depth, parent): shortest depth, and the smallest parent at that depth.
 
     A frontier is joined step by step, anti-joined with what was reached, so that
-    cycles end and every node is expanded once. write, if given, cuts the lineage
-    of a frame (by checkpoint or a written table); it should be for deep graphs.
+    cycles end and every node is expanded once. It goes on until nothing is new;
+    with max_depth, what lies deeper is an error. write cuts the lineage of a frame
+    (by checkpoint or a written table) at every step; without it each
+    frontier is a checkpoint, and all that was reached at every STRIDE steps.
     """
     kind = edges.schema["dst"].dataType
     cut = write or (lambda df: df)
     reached = cut(roots.select(F.col("node").cast(kind).alias("node")).distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")))
     frontier = reached
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         step = frontier.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("src").alias("parent"))
         step = step.select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), "parent")
-        frontier = cut(step.join(reached.select("node"), "node", "left_anti"))
+        frontier = (write or _checkpoint)(step.join(reached.select("node"), "node", "left_anti"))
         if frontier.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"nodes lie deeper than {max_depth} steps")
         reached = cut(reached.unionByName(frontier))
+        if write is None and depth % STRIDE == 0:
+            reached = _checkpoint(reached)
     return reached
 
 

@@ -84,3 +84,12 @@ def test_gaps_over_blocks(spark):
     keys = [1, 2, 5, 65530, 65540, 200000]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
     assert sorted(r.k for r in versions.gaps(df, "k").collect()) == [k for k in range(1, 200000) if k not in keys]
+
+
+def test_reach_has_no_depth_limit(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(105)] + [(105, 3)], "src long, dst long")
+    roots = spark.createDataFrame([(0,)], "node long")
+    found = {r.node: (r.depth, r.parent) for r in graph.reach(edges, roots).collect()}
+    assert found == {i: (i, i - 1 if i else None) for i in range(106)}
+    with pytest.raises(ValueError, match="deeper"):
+        graph.reach(edges, roots, max_depth=2)
