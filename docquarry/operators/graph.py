@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry import scratch
+
 #: Steps of reach after which what was reached is written anew as one table.
 STRIDE = 16
 
@@ -25,36 +27,35 @@ def references_to(edges: DataFrame) -> DataFrame:
     return edges.groupBy("dst").agg(F.count_distinct("src").alias("referrers"), F.min("src").alias("first_referrer"))
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """In the session's checkpoint folder; without one, on the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
-def reach(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None, write=None) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """edges (src, dst), roots (node) to (node, depth, parent): shortest depth, and the smallest parent at that depth.
 
     A frontier is joined step by step, anti-joined with what was reached, so that
     cycles end and every node is expanded once. It goes on until nothing is new;
-    with max_depth, what lies deeper is an error. write cuts the lineage of a frame
-    (by checkpoint or a written table) at every step; without it each
-    frontier is a checkpoint, and all that was reached at every STRIDE steps.
+    with max_depth, what lies deeper is an error. Each frontier is written to the
+    shared folder; all that was reached is the union of those tables, rewritten
+    as one every STRIDE steps, so that plans stay short at any depth.
     """
     kind = edges.schema["dst"].dataType
-    cut = write or (lambda df: df)
-    reached = cut(roots.select(F.col("node").cast(kind).alias("node")).distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")))
-    frontier = reached
+    found = edges.select("src", "dst").where("src is not null and dst is not null")
+    start = roots.where("node is not null").select(F.col("node").cast(kind).alias("node")).distinct()
+    reached = frontier = scratch.keep(start.select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")), "reached")
+    parts = [reached]
     for depth in itertools.count(1):
-        step = frontier.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("src").alias("parent"))
+        step = frontier.join(found, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("src").alias("parent"))
         step = step.select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), "parent")
-        frontier = (write or _checkpoint)(step.join(reached.select("node"), "node", "left_anti"))
+        frontier = scratch.keep(step.join(reached.select("node"), "node", "left_anti"), "frontier")
         if frontier.isEmpty():
-            break
+            return reached
         if max_depth is not None and depth > max_depth:
             raise ValueError(f"nodes lie deeper than {max_depth} steps")
-        reached = cut(reached.unionByName(frontier))
-        if write is None and depth % STRIDE == 0:
-            reached = _checkpoint(reached)
-    return reached
+        parts.append(frontier)
+        reached = reached.unionByName(frontier)
+        if depth % STRIDE == 0:
+            whole = scratch.keep(reached, "reached")
+            for table in parts[:-1]:  # the last one is the frontier of the next step
+                scratch.drop(table)
+            reached, parts = whole, [whole, frontier]
 
 
 def unreached(nodes: DataFrame, reached: DataFrame) -> DataFrame:
