@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import exact_dedup, hnsw, line_dedup, lm, mixing, packing, quality, scratch, simhash, token_files, toxicity
+from docquarry import scratch
+from docquarry.llm import exact_dedup, hnsw, line_dedup, lm, mixing, packing, quality, simhash, token_files, toxicity
 from docquarry.llm.tokens import vocabulary_file
 
 
@@ -46,7 +47,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.line_dedup(_docs(spark, sf_dir))
     return found.select(
-        "doc_id",
+        F.col("row.doc_id").alias("doc_id"),
         F.col("n_lines").cast("long").alias("n_lines"),
         F.size("removed_lines").cast("long").alias("n_removed"),
         F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed"),
@@ -113,23 +114,24 @@ SQL = {
         FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN c ON node = vec_id
     """,
     "op8_line_dedup": r"""
-        WITH lines AS (
-          SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
+        WITH docs AS (
+          SELECT doc_id, text, md5(coalesce(text, '')) AS digest,
+                 string_split(regexp_replace(replace(coalesce(text, ''), chr(31), chr(31) || '0'), '(\n|[.!?] +)', '\1' || chr(31) || '1', 'g'), chr(31) || '1') AS l FROM documents
         ), w AS (
-          SELECT doc_id, unnest(range(0, len(l) - 2)) AS p, l FROM lines WHERE len(l) >= 3
+          SELECT doc_id, digest, unnest(range(0, len(l) - 2)) AS p, l FROM (SELECT DISTINCT doc_id, digest, l FROM docs) WHERE len(l) >= 3
         ), h AS (
-          SELECT doc_id, p, l[p + 1] || chr(10) || l[p + 2] || chr(10) || l[p + 3] AS h FROM w
+          SELECT doc_id, digest, p, trim(l[p + 1], ' ' || chr(10)) || chr(10) || trim(l[p + 2], ' ' || chr(10)) || chr(10) || trim(l[p + 3], ' ' || chr(10)) AS h FROM w
         ), later AS (
-          SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS n FROM h
+          SELECT doc_id, digest, p, row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, digest, p) AS n FROM h
         ), gone AS (
-          SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS i FROM later WHERE n > 1
+          SELECT DISTINCT doc_id, digest, unnest([p, p + 1, p + 2]) AS i FROM later WHERE n > 1
         ), lists AS (
-          SELECT doc_id, list(i ORDER BY i) AS r FROM gone GROUP BY doc_id
+          SELECT doc_id, digest, list(i ORDER BY i) AS r FROM gone GROUP BY ALL
         )
-        SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(r), 0) AS BIGINT) AS n_removed,
+        SELECT docs.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(r), 0) AS BIGINT) AS n_removed,
                coalesce(array_to_string(r, ','), '') AS removed,
-               sha256(CASE WHEN r IS NULL THEN text ELSE coalesce(array_to_string(list_filter(l, lambda x, i: NOT list_contains(r, i - 1)), chr(10)), '') END) AS text_sha256
-        FROM lines LEFT JOIN lists USING (doc_id)
+               sha256(CASE WHEN r IS NULL THEN text ELSE replace(coalesce(array_to_string(list_filter(l, lambda x, i: NOT list_contains(r, i - 1)), ''), ''), chr(31) || '0', chr(31)) END) AS text_sha256
+        FROM docs LEFT JOIN lists ON docs.digest = lists.digest AND docs.doc_id IS NOT DISTINCT FROM lists.doc_id
     """,
     "op10_exact_dedup": r"""
         WITH n AS (

@@ -1,61 +1,84 @@
-"""Line dedup by overlapping windows of three lines."""
+"""Line dedup by overlapping windows of three lines.
+
+A line ends at a line feed, or, unless whole lines are asked for, at the spaces
+after a sentence's end: so that a passage is found on however many lines it
+lies, and where its first or last sentence shares a line with other text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm import scratch
+from docquarry import scratch
+from docquarry.llm.text import as_row, text_digest
 
 WINDOW = 3
+#: Bytes of the table of removals that are broadcast, at most; a larger one is joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+#: What an escaped text has where a line ends, what stands for the escape character, and that character.
+_CUT, _SELF, _ESCAPE = "\x1f1", "\x1f0", "\x1f"
+
+
+def _lines(text: Column, sentences: bool) -> Column:
+    """The lines, each with what ends it: joined they are the text."""
+    escaped = F.replace(F.coalesce(text, F.lit("")), F.lit(_ESCAPE), F.lit(_SELF))
+    marked = F.regexp_replace(escaped, r"(\n|[.!?] +)" if sentences else r"(\n)", "$1" + _CUT)
+    return F.split(marked, _CUT)
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+def _text(lines: Column) -> Column:
+    return F.replace(F.array_join(lines, ""), F.lit(_SELF), F.lit(_ESCAPE))
 
 
 def _windows(lines: Column, width: int) -> Column:
-    """Digest (128 bits) of each run of width lines; none for shorter texts."""
+    """Digest (128 bits) of each run of width lines, spaces and line feeds around a line left out; none for shorter texts."""
     starts = F.sequence(F.lit(0), F.size(lines) - width)
-    digests = F.transform(starts, lambda i: F.unhex(F.md5(F.array_join(F.slice(lines, i + 1, width), "\n").cast("binary"))))
+    digests = F.transform(starts, lambda i: F.unhex(F.md5(F.array_join(F.transform(F.slice(lines, i + 1, width), lambda x: F.trim(x, F.lit(" \n"))), "\n").cast("binary"))))
     return F.when(F.size(lines) >= width, digests).otherwise(F.array().cast("array<binary>"))
 
 
-def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """(doc_id, at int, first boolean) of each window that occurs more than once in the table.
+def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, sentences: bool = True) -> DataFrame:
+    """(doc_id, digest of the text, at int, first boolean) of each window that occurs more than once in the table.
 
-    first marks the occurrence with the smallest (doc_id, line); null ids come
-    last. Digests are counted within each partition before the shuffle; the slim
-    rows (digest, id, line) of a frequent window are dealt by AQE's skew join.
+    first marks the occurrence with the smallest (doc_id, digest, line); null ids
+    come last. Digests are counted within each partition before the shuffle; the
+    slim rows (digest, id, line) of a frequent window are dealt by AQE's skew join.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _lines(F.col(text_col)).alias("lines"))
-    found = scratch.keep(rows.select("doc_id", F.posexplode(_windows(F.col("lines"), width)).alias("at", "h")), "windows")
-    # ids are ordered with nulls last: a struct of (is null, id, line)
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
-    first = found.groupBy("h").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_digest(text).alias("digest"), _lines(text, sentences).alias("lines"))
+    found = scratch.keep(rows.select("doc_id", "digest", F.posexplode(_windows(F.col("lines"), width)).alias("at", "h")), "windows")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "at")
+    first = found.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("h", "f")
     joined = found.join(first, "h")
-    return joined.select("doc_id", "at", (F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("at") == F.col("f.at"))).alias("first"))
+    return joined.select("doc_id", "digest", "at", (F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("digest") == F.col("f.digest")) & (F.col("at") == F.col("f.at"))).alias("first"))
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """docs with removed lines: its columns, text_col rewritten, plus n_lines, removed_lines (array<int>, 0-based).
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, sentences: bool = True) -> DataFrame:
+    """(row struct, text, n_lines int, removed_lines array<int>): a row per row of docs, as it was, its rewritten text and the 0-based lines that went.
 
     A line goes if it lies in a window of width consecutive lines that occurred
     before, in a document with a smaller id or earlier in the same one; covered
-    positions of overlapping windows merge. Texts of fewer lines than a window
-    are unchanged, and so are null texts (they stay null). Lines are what lies
-    between line feeds, empty ones too. Rows that share an id count as one place:
-    their first windows tie and all stay, and what is removed from one is removed
-    from all, by line number. The line and id are all that is shuffled; texts stay.
+    positions of overlapping windows merge. Lines end at line feeds and, with
+    sentences, at the spaces after ".", "!" or "?"; empty ones are lines too.
+    Spaces and line feeds around a line do not count in comparisons. Texts of
+    fewer lines than a window are unchanged, null ones stay null and have one
+    line, an empty table gives none, and a text of any length takes time in
+    proportion to it. Null ids come last. Rows that share an id are ordered by the
+    md5 of their texts; rows equal in id and text count as one place, and keep or
+    lose the same lines. Columns of docs of any name are allowed, as row holds
+    them. The join with texts broadcasts the removals up to BROADCAST_BYTES.
     """
-    gone = repeated_windows(docs, id_col=id_col, text_col=text_col, width=width).where(~F.col("first"))
+    gone = repeated_windows(docs, id_col=id_col, text_col=text_col, width=width, sentences=sentences).where(~F.col("first"))
     # bounded by the document's own lines
-    by_doc = gone.groupBy("doc_id").agg(F.collect_set("at").alias("starts_")).select(F.col("doc_id").alias("gone_id_"), "starts_")
-    joined = docs.join(by_doc, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id_")), "left")
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("starts_", lambda s: F.sequence(s, s + (width - 1))))))
-    covered = F.array_intersect(covered, F.sequence(F.lit(0), F.size(_lines(F.col(text_col))) - 1))
-    joined = joined.withColumn("removed_lines", F.coalesce(covered, F.array().cast("array<int>"))).withColumn("n_lines", F.size(_lines(F.col(text_col))))
-    kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda _, i: ~F.array_contains(F.col("removed_lines"), i)), "\n")
-    text = F.when(F.size("removed_lines") == 0, F.col(text_col)).otherwise(kept)
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*columns, "n_lines", "removed_lines")
+    by_text = scratch.keep(gone.groupBy("doc_id", "digest").agg(F.collect_set("at").alias("starts")).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "starts"), "removals")
+    size = by_text.agg(F.sum(F.lit(64) + 4 * F.size("starts")).alias("s")).first()["s"] or 0
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(as_row(docs).alias("row"), text.alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_digest(text).alias("digest"))
+    joined = rows.join(F.broadcast(by_text) if size <= BROADCAST_BYTES else by_text, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left")
+    cut = joined.select("row", "text", _lines(F.col("text"), sentences).alias("lines"), F.sort_array(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (width - 1)))))).alias("removed"))
+    # lines twice, else it would be computed anew inside the function
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
+    kept = _text(F.transform(places, lambda i: F.get(F.col("lines"), i)))
+    new = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
+    return cut.select("row", new.alias("text"), F.size("lines").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))

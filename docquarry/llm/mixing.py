@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docquarry.llm import scratch
-from docquarry.llm.text import n_words
+from docquarry import scratch
+from docquarry.llm.text import as_row, n_words
 
 #: A source may be repeated so often at most, on average.
 MAX_RATE = 3.0
@@ -48,18 +48,18 @@ def source_rates(totals: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_r
     return ranked.select("source", "source_size", "target", rate.alias("rate"))
 
 
-def _with_rates(sized: DataFrame, rates: DataFrame, n_sources: int) -> DataFrame:
+def _with_rates(sized: DataFrame, rates: DataFrame, n_sources: int, spread: str = "doc_id") -> DataFrame:
     if n_sources <= BROADCAST_SOURCES:
         return sized.join(F.broadcast(rates.withColumnRenamed("source", "s_")), F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
     # a hot source is dealt over SALTS tasks
-    salted = sized.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "draw_"), F.lit(SALTS)))
-    spread = rates.select(F.col("source").alias("s_"), "source_size", "target", "rate").withColumn("t_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, F.col("source").eqNullSafe(F.col("s_")) & (F.col("salt_") == F.col("t_")), "left").drop("salt_", "s_", "t_")
+    salted = sized.withColumn("salt_", F.pmod(F.xxhash64(spread, "draw_"), F.lit(SALTS)))
+    each = rates.select(F.col("source").alias("s_"), "source_size", "target", "rate").withColumn("t_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(each, F.col("source").eqNullSafe(F.col("s_")) & (F.col("salt_") == F.col("t_")), "left").drop("salt_", "s_", "t_")
 
 
 def draw(seed: int, doc_id: str) -> Column:
     """A number in [0, 1) from the md5 of seed and id; the same on every run, and in any SQL engine. A null id counts as none."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
@@ -69,8 +69,10 @@ def mix_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     copies is floor(rate), plus one when the document's draw is under the
     fraction. Null or empty texts have size 0 and are copied like others of their
     source; documents without a source form one. Rows with the same id draw alike.
+    Sizes are counted in whole texts of any length. An empty table gives no rows.
+    Other columns of docs, of any name, are not looked at.
     """
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), draw(seed, id_col).alias("draw_"))
+    sized = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(F.col(f"`{text_col}`").cast("string")).alias("size"), draw(seed, id_col).alias("draw_"))
     sized = scratch.keep(sized, "sizes")
     totals = scratch.keep(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "totals")
     rates = source_rates(totals, weights=weights, max_rate=max_rate)
@@ -81,15 +83,10 @@ def mix_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_rate: float = MAX_RATE, seed: int = SEED) -> DataFrame:
-    """The rows of docs, all columns, each emitted as often as the mix takes it."""
-    totals = scratch.keep(docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum(n_words(F.col(text_col))).cast("long").alias("source_size")), "totals")
-    rates = source_rates(totals, weights=weights, max_rate=max_rate).select("source", "source_size", "target", F.col("rate").alias("rate_"))
-    columns = docs.columns
-    if (n := totals.count()) <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(rates.select(F.col("source").alias("s_"), "rate_")), F.col(source_col).cast("string").eqNullSafe(F.col("s_")), "left")
-    else:
-        salted = docs.withColumn("salt_", F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)))
-        spread = rates.select(F.col("source").alias("s_"), "rate_").withColumn("t_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(spread, F.col(source_col).cast("string").eqNullSafe(F.col("s_")) & (F.col("salt_") == F.col("t_")), "left")
-    copies = F.floor("rate_") + F.when(draw(seed, id_col) < F.col("rate_") - F.floor("rate_"), 1).otherwise(0)
-    return joined.withColumn("copies_", copies.cast("int")).where("copies_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*columns)
+    """The rows of docs, all columns, of any name, each emitted as often as the mix takes it; rules as in mix_copies."""
+    source, text = F.col(f"`{source_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
+    totals = scratch.keep(docs.groupBy(source.alias("source")).agg(F.sum(n_words(text)).cast("long").alias("source_size")), "totals")
+    rows = docs.select(as_row(docs).alias("row"), source.alias("source"), draw(seed, id_col).alias("draw_"), *([] if (n := totals.count()) <= BROADCAST_SOURCES else [F.xxhash64(text).alias("spread_")]))
+    joined = _with_rates(rows, source_rates(totals, weights=weights, max_rate=max_rate), n, "spread_")
+    copies = F.floor("rate") + F.when(F.col("draw_") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return joined.select("row", copies.cast("int").alias("copies")).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -4,11 +4,17 @@ A fingerprint's 64 bits are cut into B blocks; two fingerprints that differ in a
 most D bits agree on at least B - D blocks, so every set of B - D blocks is a key
 and close pairs share one. B follows from the number of fingerprints, so that a
 key stays selective at any size. Hamming distance is then verified.
+
+A similarity of shingles as low as 0.8 is beyond such keys: there 15 % of the bits
+differ, and any set of blocks that surely agrees is too short to select. For it
+fingerprints have 256 bits, and a key's block is a set of bits drawn at random;
+as many keys are taken as find a pair at that similarity with a stated chance.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,24 +24,49 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm import scratch
+from docquarry import scratch
 from docquarry.llm.components import components
-from docquarry.llm.text import raw
+from docquarry.llm.text import as_row, raw, text_digest
 
 SHINGLE = 4
 SEED = 42
 #: Bits by which linked fingerprints may differ.
 DISTANCE = 4
+#: Words of a shingle, 64-bit words of a fingerprint and bits that may differ, for a similarity (Jaccard, of shingle sets) of SIMILAR or more:
+#: there 38.8 of 256 bits differ, with a standard deviation of 5.7.
+SIMILAR_SHINGLE, SIMILAR, WIDTH, SIMILAR_DISTANCE = 5, 0.8, 4, 44
+#: Chance at least that a pair of that similarity has a key in common.
+KEY_RECALL = 0.97
 #: Fingerprints under one key that one task compares; larger groups are cut into tiles of pairs of such chunks.
 CHUNK = 4096
 _SMALL = 16
+# odd numbers that spread a shingle's hash to further words of a wide fingerprint
+_SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """SimHash of the UTF-8 text, as a signed 64-bit number; 0 without words."""
+def _bit_counts(digests: bytes, width: int) -> tuple[np.ndarray, int]:
+    """How many of the hashes have each bit, first bit first; and how many there are."""
+    total = len(digests) // 8
+    ones = np.zeros(64 * width, np.int64)
+    flat = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+    for at in range(0, total, 1 << 15):
+        part = flat[at : at + (1 << 15)]
+        ones[:64] += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.uint32)
+        h = part.view(">u8").ravel().astype(np.uint64)
+        for w in range(1, width):
+            x = (h ^ (h >> np.uint64(32))) * _SPREAD[w - 1]
+            x ^= x >> np.uint64(29)
+            x *= _SPREAD[w % len(_SPREAD)]
+            x ^= x >> np.uint64(32)
+            ones[64 * w : 64 * w + 64] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+    return ones, total
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE, width: int = 1) -> list[int]:
+    """SimHash of the UTF-8 text, as signed 64-bit numbers; 0 without words. The first is that of width 1."""
     words = (text or b"").lower().split()  # bytes: only A-Z, and only the six white-space bytes
     if not words:
-        return 0
+        return [0] * width
     joined = b" ".join(words)
     if len(words) <= shingle:
         digests = xxhash.xxh64_digest(joined, SEED)
@@ -45,24 +76,30 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
         digest = xxhash.xxh64_digest
         digests = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)])
-    total = len(digests) // 8
-    ones = np.zeros(64, np.int64)
-    flat = np.frombuffer(digests, np.uint8).reshape(-1, 8)
-    for at in range(0, total, 1 << 15):
-        ones += np.unpackbits(flat[at : at + (1 << 15)], axis=1).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big", signed=True)
+    ones, total = _bit_counts(digests, width)
+    return np.packbits(ones * 2 > total).view(">i8").tolist()
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.fromiter((fingerprint(x) for x in raw(batch, "text")), np.int64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """SimHash of one 64-bit word."""
+    return wide_fingerprint(text, shingle)[0]
+
+
+def _names(width: int) -> list[str]:
+    return [f"f{w}" for w in range(width)]
+
 
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = 1) -> DataFrame:
+    """(doc_id long, digest binary, f0 long, …) for every row; digest is the md5 of the text, null as empty."""
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_digest(text).alias("digest"), text.alias("text"))
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, fp long) for every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([wide_fingerprint(x, shingle, width) for x in raw(batch, "text")], np.int64).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(found[:, w].copy()) for w in range(width)]], ["doc_id", "digest", *_names(width)])
+
+    return rows.mapInArrow(run, "doc_id long, digest binary, " + ", ".join(f"{n} long" for n in _names(width)))
 
 
 def key_masks(n: int, distance: int = DISTANCE) -> list[int]:
@@ -76,6 +113,30 @@ def key_masks(n: int, distance: int = DISTANCE) -> list[int]:
     raise AssertionError
 
 
+def drawn_masks(n: int, *, width: int = WIDTH, similarity: float = SIMILAR, recall: float = KEY_RECALL, seed: int = 3) -> list[list[int]]:
+    """Masks (a number for each 64-bit word) of keys of log2(n) bits drawn at random, as many as give that recall at that similarity.
+
+    Sets of equal size and Jaccard similarity s have the cosine 2s / (1 + s), and
+    fingerprint bits differ with a chance of its angle over pi.
+    """
+    bits = max(8, max(1, n).bit_length())
+    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    keys = math.ceil(math.log(1 - recall) / math.log(1 - same**bits))
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(keys):
+        mask = [0] * width
+        for b in rng.choice(64 * width, bits, replace=False).tolist():
+            mask[b // 64] |= 1 << (b % 64)
+        out.append(mask)
+    return out
+
+
+def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Rows of words that differ in at most so many bits."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.uint32) <= distance
+
+
 def _forest(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (positions) that connect what is within distance of each other, one fewer than members per component."""
     left = np.arange(len(values))
@@ -85,7 +146,7 @@ def _forest(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(values[left] ^ values[at]) <= distance
+            near = _near(values[left], values[at], distance)
             if near.any():
                 new = left[near]
                 heads.append(np.full(len(new), at))
@@ -96,43 +157,46 @@ def _forest(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(heads), np.concatenate(tails)) if heads else (empty, empty)
 
 
-_PAIRS = "kind int, key long, chunk int, a long, b long"
-
-
-def _frame(kind: int, a: np.ndarray, b: np.ndarray, key: int = 0, chunk: int = 0) -> pa.RecordBatch:
+def _frame(kind: int, a: np.ndarray, b: np.ndarray, values: np.ndarray, key: int = 0, chunk: int = 0) -> pa.RecordBatch:
     n = len(a)
-    columns = [np.full(n, kind, np.int32), np.full(n, key, np.int64), np.full(n, chunk, np.int32), a.view(np.int64), b.view(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "chunk", "a", "b"])
+    columns = [np.full(n, kind, np.int32), np.full(n, key, np.int64), np.full(n, chunk, np.int32), a, b, *[values[:, w].view(np.int64).copy() for w in range(values.shape[1])]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "chunk", "a", "b", *_names(values.shape[1])])
 
 
 def _linker(distance: int, chunk_rows: int):
-    """Over rows (key, fp) sorted by key: kind 0 are links, kind 1 the members of groups that are too large for one task."""
+    """Over rows (key, node, words of the fingerprint) sorted by key: kind 0 are links of nodes, kind 1 the members of groups that are too large for one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_now, held, chunks = None, [], 0  # a group that may go on in the next batch
+        key_now, held, chunks = None, [], 0  # a group that may go on in the next batch: (nodes, values)
+
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            return np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
 
-        def large(values: np.ndarray) -> Iterator[pa.RecordBatch]:
-            values = np.unique(values)
+        def large(nodes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
             heads, tails = _forest(values, distance)
-            yield _frame(0, values[heads], values[tails])
+            return _frame(0, nodes[heads], nodes[tails], values[heads])
+
+        def close() -> pa.RecordBatch:
+            nodes, values = joined()
+            return _frame(1, nodes, nodes, values, key_now, chunks) if chunks else large(nodes, values)
 
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            fps = batch.column(1).to_numpy().view(np.uint64)
+            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fps = np.stack([batch.column(i).to_numpy() for i in range(2, batch.num_columns)], axis=1).view(np.uint64)
             if not len(keys):
                 continue
             cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             bounds = np.concatenate(([0], cuts, [len(keys)]))
             # the first run may continue what is held, the last one may go on
             if key_now is not None and keys[0] != key_now:
-                yield from (large(np.concatenate(held)) if not chunks else [_frame(1, x := np.concatenate(held), x, key_now, chunks)])
+                yield close()
                 key_now, held, chunks = None, [], 0
             first = 0
             if key_now is not None:
-                held.append(fps[: bounds[1]])
+                held.append((ids[: bounds[1]], fps[: bounds[1]]))
                 first = 1
                 if len(bounds) > 2:
-                    yield from (large(np.concatenate(held)) if not chunks else [_frame(1, x := np.concatenate(held), x, key_now, chunks)])
+                    yield close()
                     key_now, held, chunks = None, [], 0
             last = len(bounds) - 2
             if last >= first:
@@ -140,82 +204,115 @@ def _linker(distance: int, chunk_rows: int):
                 inner = np.arange(first, last)
                 for i in inner[lengths[inner] > _SMALL]:
                     if lengths[i] <= chunk_rows:
-                        yield from large(fps[bounds[i] : bounds[i + 1]])
+                        yield large(ids[bounds[i] : bounds[i + 1]], fps[bounds[i] : bounds[i + 1]])
                     else:
                         for c, at in enumerate(range(bounds[i], bounds[i + 1], chunk_rows)):
-                            part = fps[at : min(at + chunk_rows, bounds[i + 1])]
-                            yield _frame(1, part, part, int(keys[bounds[i]]), c)
+                            part = slice(at, min(at + chunk_rows, bounds[i + 1]))
+                            yield _frame(1, ids[part], ids[part], fps[part], int(keys[bounds[i]]), c)
                 size = np.repeat(lengths, lengths)
                 lo, hi = bounds[first], bounds[last]
-                ks, vs, small = keys[lo:hi], fps[lo:hi], size[lo:hi] <= _SMALL
-                ks, vs = ks[small], vs[small]
+                ks, ns, vs, small = keys[lo:hi], ids[lo:hi], fps[lo:hi], size[lo:hi] <= _SMALL
+                ks, ns, vs = ks[small], ns[small], vs[small]
                 for step in range(1, _SMALL):
                     same = np.flatnonzero(ks[step:] == ks[:-step])
                     if not len(same):
                         break
-                    near = same[np.bitwise_count(vs[same] ^ vs[same + step]) <= distance]
+                    near = same[_near(vs[same], vs[same + step], distance)]
                     if len(near):
-                        yield _frame(0, vs[near], vs[near + step])
-                key_now, held = int(keys[-1]), [fps[bounds[last] :]]
-            while sum(map(len, held)) > chunk_rows:
-                rest = np.concatenate(held)
-                yield _frame(1, rest[:chunk_rows], rest[:chunk_rows], key_now, chunks)
-                held, chunks = [rest[chunk_rows:]], chunks + 1
+                        yield _frame(0, ns[near], ns[near + step], vs[near])
+                key_now, held = int(keys[-1]), [(ids[bounds[last] :], fps[bounds[last] :])]
+            while sum(len(x) for x, _ in held) > chunk_rows:
+                nodes, values = joined()
+                yield _frame(1, nodes[:chunk_rows], nodes[:chunk_rows], values[:chunk_rows], key_now, chunks)
+                held, chunks = [(nodes[chunk_rows:], values[chunk_rows:])], chunks + 1
         if key_now is not None:
-            yield from (large(np.concatenate(held)) if not chunks else [_frame(1, x := np.concatenate(held), x, key_now, chunks)])
+            yield close()
 
     return run
 
 
-def _tile(distance: int):
+def _tile(distance: int, width: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        values = np.unique(group["fp"].to_numpy().view(np.uint64))
-        heads, tails = _forest(values, distance)
-        return pd.DataFrame({"a": values[heads].view(np.int64), "b": values[tails].view(np.int64)})
+        nodes = group["node"].to_numpy()
+        heads, tails = _forest(np.stack([group[n].to_numpy() for n in _names(width)], axis=1).view(np.uint64), distance)
+        return pd.DataFrame({"a": nodes[heads], "b": nodes[tails]})
 
     return run
 
 
-def links(distinct: DataFrame, *, distance: int = DISTANCE, chunk_rows: int = CHUNK) -> DataFrame:
-    """distinct (fp long, no repeats) to links (a, b) that join all fingerprints within distance.
+def links(distinct: DataFrame, masks: list[list[int]], *, distance: int = DISTANCE, chunk_rows: int = CHUNK) -> DataFrame:
+    """distinct (node long, f0 long, …; no repeats) to links (a, b) of nodes that join all fingerprints that a mask's bits bring together.
 
-    The links span the same components as all close pairs do, and each is a close
-    pair; within a key's group only a spanning forest is emitted. A group beyond
-    chunk_rows is cut into chunks, and each pair of chunks is a task of its own.
+    The links span the same components as all close pairs under the keys do, and
+    each is a close pair; within a key's group only a spanning forest is emitted.
+    A group beyond chunk_rows is cut into chunks, and each pair of chunks is a
+    task of its own.
     """
-    masks = key_masks(distinct.count(), distance)
-    keyed = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(m)).alias("m")) for i, m in enumerate(masks)])).alias("k"), "fp")
-    keyed = keyed.select(F.xxhash64("k.i", F.col("fp").bitwiseAND(F.col("k.m"))).alias("key"), "fp")
-    found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linker(distance, chunk_rows), _PAIRS)
+    width = len(masks[0])
+    words = _names(width)
+    keyed = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(_signed(m)).alias(f"m{w}") for w, m in enumerate(mask)]) for i, mask in enumerate(masks)])).alias("k"), "node", *words)
+    keyed = keyed.select(F.xxhash64("k.i", *[F.col(f"f{w}").bitwiseAND(F.col(f"k.m{w}")) for w in range(width)]).alias("key"), "node", *words)
+    schema = "kind int, key long, chunk int, a long, b long, " + ", ".join(f"{n} long" for n in words)
+    found = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_linker(distance, chunk_rows), schema)
     found = scratch.keep(found, "close")
     direct = found.where("kind = 0").select("a", "b")
-    hot = found.where("kind = 1").select("key", "chunk", F.col("a").alias("fp"))
+    hot = found.where("kind = 1").select("key", "chunk", F.col("a").alias("node"), *words)
     if hot.isEmpty():
         return direct
     size = hot.groupBy("key").agg(F.max("chunk").alias("top"))
     tiles = hot.join(size, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("top")))).where("other <> chunk or top = 0")
-    tiles = tiles.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "fp")
-    return direct.unionByName(tiles.groupBy("key", "i", "j").applyInPandas(_tile(distance), "a long, b long"))
+    tiles = tiles.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", *words)
+    return direct.unionByName(tiles.groupBy("key", "i", "j").applyInPandas(_tile(distance, width), "a long, b long"))
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _grouped(rows: DataFrame, width: int, distance: int, masks) -> DataFrame:
+    """rows of fingerprints() with least, the place (no_id, doc_id, digest) of the first row of each component."""
+    words = _names(width)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    node = F.col("f0") if width == 1 else F.xxhash64(*words)
+    distinct = scratch.keep(rows.groupBy(*words).agg(F.min(place).alias("least")).withColumn("node", node), "distinct")
+    found = components(links(distinct.select("node", *words), masks(distinct.count()), distance=distance))
+    placed = distinct.select(F.col("node").alias("of"), "least").join(found, F.col("of") == F.col("node"), "left").select("of", "least", F.coalesce("root", "of").alias("root"))
+    least = placed.groupBy("root").agg(F.min("least").alias("first"))
+    by_node = scratch.keep(placed.join(least, "root").select("of", "first"), "placed")
+    return rows.withColumn("node", node).join(by_node, F.col("node") == F.col("of"))
+
+
 def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row per row of docs: doc_id, fp long, fingerprint (16 hex digits), component_id.
 
     Null and empty texts have fingerprint 0 and link like any other. A text of
-    fewer words than a shingle is one shingle. Rows that repeat an id share its
+    fewer words than a shingle is one shingle; a text of any length is hashed
+    whole, in slices. An empty table gives no rows. Rows that repeat an id share its
     row's fate; component_id is the smallest id of the component, null only if
     all its ids are null. Copies are reduced to one fingerprint first, so a group
-    of any size costs one comparison.
+    of any size costs one comparison. Other columns of docs, of any name, are not
+    looked at.
     """
     rows = scratch.keep(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    distinct = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(links(distinct.select("fp"), distance=distance))
-    placed = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = scratch.keep(placed.join(least, "root").select("fp", "component_id"), "placed")
-    out = rows.join(by_fp, "fp")
-    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = _grouped(rows, 1, distance, lambda n: [[m] for m in key_masks(n, distance)])
+    return out.select("doc_id", F.col("f0").alias("fp"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, distance: int = SIMILAR_DISTANCE) -> DataFrame:
+    """The rows of docs, all columns, without those that a near copy with a smaller id stands for.
+
+    Near copies are texts of which 5-word shingles have a similarity of SIMILAR or
+    more, as far as fingerprints of 256 bits tell: linked are those that differ in
+    at most distance bits. A pair at exactly that similarity is linked with a chance
+    of about 0.8, one at 0.85 of 0.97; one at 0.7 of 0.2. Links are followed
+    to whole components. Null ids come last, so that of a group without ids the
+    text with the smallest md5 stays; rows equal in id and text stay or go
+    together, and each other row is judged by its own text. Texts without words
+    are copies of each other. Columns may have any name; an empty table gives none.
+    """
+    rows = scratch.keep(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, width=WIDTH), "fingerprints")
+    out = _grouped(rows, WIDTH, distance, drawn_masks)
+    kept = out.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
+    text = F.col(f"`{text_col}`").cast("string")
+    whole = docs.select(as_row(docs).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_digest(text).alias("digest"))
+    return whole.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi").select("row.*")

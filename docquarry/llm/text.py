@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than these six.
@@ -15,6 +15,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_digest(text: Column) -> Column:
+    """md5 (16 bytes) of a text, null as empty: with the id it names a row."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def as_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that what an operator adds clashes with none."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; -1 where the id is null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus), F.lit(-1)).cast("int")
