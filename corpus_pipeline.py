@@ -1,69 +1,5 @@
-"""A corpus pipeline of five stages, each written as Parquet and reread.
+"""The corpus pipeline of docquarry.llm.pipeline, under the name that its callers know. It goes with docquarry/llm."""
 
-documents -> toxicity (rejected documents go) -> line dedup -> SimHash near-dedup
-(the smallest id of a group stays) -> mixing sources to target weights -> packing.
-Part of the training-data package: it goes with docquarry/llm.
-"""
+from docquarry.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from docquarry.llm import line_dedup, mixing, packing, scratch, simhash, toxicity
-from docquarry.llm.tokens import vocabulary_file
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't predict as toxic; their columns as they were.
-
-    The score is computed beside the row, so rows that repeat an id are each
-    judged by their own text.
-    """
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_rows(docs, model, docs.columns).where("predicted = 0").select(*docs.columns)
-
-
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the later occurrences of repeated three-line windows; n_chars follows the text, no row goes."""
-    out = line_dedup.line_dedup(docs)
-    changed = F.when(F.size("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))
-    return out.withColumn("n_chars", changed).select(*docs.columns)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group of near copies; rows that repeat that id stay together, those without id too."""
-    found = simhash.simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id_"), F.lit(True).alias("kept_")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id_")), "left_semi").select(*docs.columns)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, with its columns."""
-    return mixing.mix(docs)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 1024 tokens."""
-    return packing.pack(docs, vocabulary_file("byte_bpe_50k.json"))
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("line dedup", drop_repeated_lines),
-    ("simhash near-dedup", drop_near_copies),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
-]
-
-#: Nearest-neighbour votes, fingerprints and token ids are beyond SQL: tests compare with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's rows written to the shared folder before the next reads them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
