@@ -14,8 +14,6 @@ from docquarry import scratch
 from docquarry.llm.text import as_row, text_digest
 
 WINDOW = 3
-#: Bytes of the table of removals that are broadcast, at most; a larger one is joined by shuffle.
-BROADCAST_BYTES = 16 << 20
 #: What an escaped text has where a line ends, what stands for the escape character, and that character.
 _CUT, _SELF, _ESCAPE = "\x1f1", "\x1f0", "\x1f"
 
@@ -67,15 +65,14 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     proportion to it. Null ids come last. Rows that share an id are ordered by the
     md5 of their texts; rows equal in id and text count as one place, and keep or
     lose the same lines. Columns of docs of any name are allowed, as row holds
-    them. The join with texts broadcasts the removals up to BROADCAST_BYTES.
+    them. Texts are shuffled once, to meet their removals.
     """
     gone = repeated_windows(docs, id_col=id_col, text_col=text_col, width=width, sentences=sentences).where(~F.col("first"))
     # bounded by the document's own lines
-    by_text = scratch.keep(gone.groupBy("doc_id", "digest").agg(F.collect_set("at").alias("starts")).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "starts"), "removals")
-    size = by_text.agg(F.sum(F.lit(64) + 4 * F.size("starts")).alias("s")).first()["s"] or 0
+    by_text = gone.groupBy("doc_id", "digest").agg(F.collect_set("at").alias("starts")).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "starts")
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(as_row(docs).alias("row"), text.alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_digest(text).alias("digest"))
-    joined = rows.join(F.broadcast(by_text) if size <= BROADCAST_BYTES else by_text, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left")
+    joined = rows.join(by_text, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left")
     cut = joined.select("row", "text", _lines(F.col("text"), sentences).alias("lines"), F.sort_array(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (width - 1)))))).alias("removed"))
     # lines twice, else it would be computed anew inside the function
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
