@@ -104,6 +104,19 @@ def unescape_calls(script: str, at_least: int = 150) -> list[tuple[bytes, list[s
     return out
 
 
+def calls_of(script: str, function: str) -> list[str]:
+    """Arguments of each call of a function, by its name or by a variable that it, or another such variable, was given to; cycles end."""
+    names, open_ = {function}, [function]
+    while open_:
+        name = open_.pop()
+        for alias in re.findall(rf"([A-Za-z_$][\w$]*)\s*=\s*{re.escape(name)}\s*(?:;|$)", script):
+            if alias not in names:
+                names.add(alias)
+                open_.append(alias)
+    either = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
+    return [m[1] for m in re.finditer(rf"(?<![\w$.])(?:{either})\s*\(([^)]*)\)?", script)]
+
+
 def _text_udf(function):
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -134,3 +147,28 @@ def unescape_js_col(c: Column) -> Column:
         return s.map(lambda x: None if x is None else unescape_js(x))
 
     return run(c)
+
+
+def encode_name_col(c: Column) -> Column:
+    return _text_udf(encode_name)(c)
+
+
+def encode_octal_col(c: Column) -> Column:
+    return _text_udf(encode_octal)(c)
+
+
+def escape_string_col(c: Column) -> Column:
+    return _text_udf(escape_string)(c)
+
+
+def variable_content_col(script: Column, expression: str) -> Column:
+    return _text_udf(lambda s: variable_content(s, expression))(script)
+
+
+def calls_col(script: Column, function: str) -> Column:
+    """array<string> of the arguments of each call."""
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else calls_of(x, function))
+
+    return run(script)

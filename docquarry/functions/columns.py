@@ -36,16 +36,15 @@ def bits_of(number: Column, width: int) -> Column:
 
 def bytes_of_bits(bits: Column) -> Column:
     """Binary text, whole bytes from the left; a rest is dropped."""
-    count = (F.length(bits) / 8).cast("int")
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.lpad(F.conv(F.substring(bits, (i - 1) * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
-    return F.when(count > 0, F.unhex(F.array_join(pieces, ""))).otherwise(F.lit(b""))
+    pieces = F.regexp_extract_all(bits, F.lit("([01]{8})"), F.lit(1))
+    return F.unhex(F.array_join(F.transform(pieces, lambda x: F.lpad(F.conv(x, 2, 16), 2, "0")), ""))
 
 
 def numbers_of_bytes(data: Column, width: int) -> Column:
     """Fixed-width unsigned numbers, high bit first; a rest is dropped. width at most 63."""
-    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.lpad(F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 2), 8, "0")), "")
-    count = (F.octet_length(data) * 8 / width).cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.conv(F.substring(bits, i * width + 1, F.lit(width)), 2, 10).cast("long"))).otherwise(F.array().cast("array<long>"))
+    pairs = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))
+    bits = F.array_join(F.transform(pairs, lambda x: F.lpad(F.conv(x, 16, 2), 8, "0")), "")
+    return F.transform(F.regexp_extract_all(bits, F.lit(f"(.{{{width}}})"), F.lit(1)), lambda x: F.conv(x, 2, 10).cast("long"))
 
 
 def hex_to_bytes(text: Column) -> Column:
@@ -103,6 +102,15 @@ def hexdump_row(data: Column, row: int = 0) -> Column:
     return F.concat(F.rpad(pairs, 47, " "), F.lit("  |"), gutter, F.lit("|"))
 
 
+def hexdump(data: Column) -> Column:
+    """array<string>: every row of sixteen bytes; one empty row for no bytes."""
+    hexed, plain = F.lower(F.hex(data)), F.decode(data, "ISO-8859-1")
+    # both as arrays of rows first: a row is then found without walking the text
+    pairs = F.split(F.regexp_replace(hexed, "(.{32})(?=.)", "$1\n"), "\n")
+    signs = F.split(F.regexp_replace(F.regexp_replace(plain, r"[^\x20-\x7e]", "."), "(.{16})(?=.)", "$1\n"), "\n")
+    return F.zip_with(pairs, signs, lambda p, s: F.concat(F.rpad(F.trim(F.regexp_replace(p, "(..)", "$1 ")), 47, " "), F.lit("  |"), s, F.lit("|")))
+
+
 def joined_quotes(text: Column) -> Column:
     """The bodies of all quoted fragments, joined."""
     return F.array_join(F.regexp_extract_all(text, F.lit("[\"'](.*?)[\"']"), F.lit(1)), "")

@@ -137,14 +137,30 @@ def version_counts(objects: DataFrame, streams: DataFrame) -> DataFrame:
     return rolled.where("file_id is not null")
 
 
-def report(files: DataFrame, objects: DataFrame, streams: DataFrame, found: DataFrame) -> DataFrame:
-    """(file_id, report): one JSON object per file, its versions and suspicious markers inside; booleans are booleans."""
+def report(files: DataFrame, objects: DataFrame, streams: DataFrame, found: DataFrame, *, form: str = "json") -> DataFrame:
+    """(file_id, report): one JSON object, or XML element, per file, its versions and suspicious markers inside; booleans are booleans."""
     per_version = version_counts(objects, streams).where("version is not null")
     listed = per_version.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("version", "objects", "streams", "encoded", "faulty", "compressed"))).alias("versions"))
     marked = suspicious(found).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("version", "category", "token", "ids"))).alias("suspicious"))
     joined = files.join(listed, "file_id", "left").join(marked, "file_id", "left")
-    fields = ["size", "md5", "sha1", "sha256", "pdf_version", "binary", "linearized", "encrypted", "updates", "errors", "versions", "suspicious"]
-    return joined.select("file_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("report"))
+    whole = F.struct("size", "md5", "sha1", "sha256", "pdf_version", "binary", "linearized", "encrypted", "updates", "errors", "versions", "suspicious")
+    return joined.select("file_id", (F.to_xml(whole, {"rowTag": "report"}) if form == "xml" else F.to_json(whole, {"ignoreNullFields": "false"})).alias("report"))
+
+
+def object_stats(objects: DataFrame, edges: DataFrame, streams: DataFrame) -> DataFrame:
+    """Per object: its hashes and kind, how many references it has, whether it is a stream, encoded or faulty, compressed."""
+    refs = edges.groupBy("file_id", "version", F.col("src_id").alias("object_id")).agg(F.count(F.lit(1)).alias("refs"))
+    s = streams.select(*OBJECT, F.lit(True).alias("stream"), (F.size("filters") > 0).alias("encoded"), F.col("faulty").alias("faulty_stream"))
+    joined = objects.join(refs, OBJECT, "left").join(s, OBJECT, "left")
+    flags = [F.coalesce(n, F.lit(False)).alias(n) for n in ("stream", "encoded", "faulty_stream")]
+    return joined.select(*OBJECT, "obj_type", "dict_type", "size", "md5", "sha1", F.coalesce("refs", F.lit(0)).cast("long").alias("refs"), *flags, F.col("compressed_in").isNotNull().alias("compressed"), F.size("errors").alias("errors"))
+
+
+def section_stats(xref: DataFrame, trailers: DataFrame) -> DataFrame:
+    """Per version: entries of its cross-reference sections by kind, and what its trailer says."""
+    counts = xref.groupBy("file_id", "version").agg(F.count(F.lit(1)).alias("entries"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("free", "used", "compressed")], F.count_if("in_stream").alias("from_stream"))
+    said = trailers.groupBy("file_id", "version").agg(*[F.max(c).alias(c) for c in ("size", "prev", "startxref", "root", "info", "encrypted")])
+    return counts.join(said, ["file_id", "version"], "full_outer")
 
 
 def error_counts(df: DataFrame) -> DataFrame:

@@ -63,32 +63,70 @@ def search_hex(df: DataFrame, pattern: str, *, content: str) -> DataFrame:
     return df.where(F.contains(F.col(content).cast("binary"), F.lit(wanted)))
 
 
+def _differences(data: bytes) -> bytes:
+    """Each byte XORed with the one before it: the same under every single-byte key."""
+    a = np.frombuffer(data, np.uint8)
+    return (a[1:] ^ a[:-1]).tobytes()
+
+
+def _both_cases(byte: int) -> set[int]:
+    return {byte, bytes([byte]).swapcase()[0]}
+
+
+def _xor_finder(pattern: bytes, ignore_case: bool):
+    """data to {key: first place}; differences are searched once, and a place's first byte tells the key."""
+    wanted, longest = _differences(pattern), len(pattern)
+    letters = [_both_cases(b) for b in pattern]
+    if ignore_case:  # a change of case changes a difference, so that some places are candidates only
+        classes = b"".join(b"[" + b"".join(b"\\x%02x" % d for d in sorted({x ^ y for x in a for y in b})) + b"]" for a, b in zip(letters, letters[1:], strict=False))
+        candidates = re.compile(b"(?=" + classes + b")", re.S)
+
+    def run(data: bytes) -> dict[int, int]:
+        out: dict[int, int] = {}
+        if len(data) < longest or not longest:
+            return {} if longest else dict.fromkeys(range(256), 0)
+        if longest == 1:
+            values, first = np.unique(np.frombuffer(data, np.uint8), return_index=True)
+            for value, place in sorted(zip(values.tolist(), first.tolist(), strict=True), key=lambda x: x[1]):
+                for c in letters[0] if ignore_case else pattern:
+                    out.setdefault(value ^ c, place)
+            return out
+        between = _differences(data)
+        if not ignore_case:
+            at = between.find(wanted)
+            while at >= 0:
+                out.setdefault(data[at] ^ pattern[0], at)
+                at = between.find(wanted, at + 1)
+            return out
+        for m in candidates.finditer(between):
+            at = m.start()
+            for c in letters[0]:
+                key = data[at] ^ c
+                if key not in out and all(data[at + i] ^ key in letters[i] for i in range(longest)):
+                    out[key] = at
+        return out
+
+    return run
+
+
 def xor_search(df: DataFrame, pattern: bytes, *, key: str, content: str, ignore_case: bool = False) -> DataFrame:
     """(key column, xor_key int, offset int): each single-byte key under which the content holds the pattern, and its first place.
 
-    XOR is its own inverse, so a key is applied to the pattern once, and the bytes
-    are searched as they are: no copy of the content per key, and no join with keys.
+    Neighbouring bytes XORed with each other are the same whatever the key, so the
+    differences of the content are searched once for those of the pattern: no pass
+    and no copy per key, and no join with keys. An empty pattern is at place 0 of
+    every content that is not empty, under all keys.
     """
-    if ignore_case:
-        tests = [re.compile(b"".join(b"[" + b"".join(b"\\x%02x" % (c ^ k) for c in {b, bytes([b]).swapcase()[0]}) + b"]" for b in pattern), re.S) for k in range(256)]
-    else:
-        literals = [bytes(b ^ k for b in pattern) for k in range(256)]
-    kind = df.schema[key].dataType
+    kind, find = df.schema[key].dataType, _xor_finder(pattern, ignore_case)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, keys, places = [], [], []
             for i, data in enumerate(batch.column(1).to_pylist()):
-                for k in range(256) if data else ():
-                    if ignore_case:
-                        found = tests[k].search(data)
-                        place = found.start() if found else -1
-                    else:
-                        place = data.find(literals[k])
-                    if place >= 0:
-                        at.append(i)
-                        keys.append(k)
-                        places.append(place)
+                found = find(data) if data else {}
+                at += [i] * len(found)
+                keys += found.keys()
+                places += found.values()
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.int32()), pa.array(places, pa.int32())], [key, "xor_key", "offset"])
 
     schema = T.StructType([T.StructField(key, kind), T.StructField("xor_key", T.IntegerType()), T.StructField("offset", T.IntegerType())])

@@ -37,3 +37,9 @@ def xml_report(fields: dict[str, Column], root: str = "report") -> Column:
         return F.regexp_replace(c.cast("string"), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "?")
 
     return F.to_xml(F.struct(*[clean(c).alias(n) for n, c in fields.items()]), {"rowTag": root})
+
+
+def text_report(df: DataFrame, line: str, columns: list[str]) -> DataFrame:
+    """(report): one text, a line per row of a summary table, in order of the columns. For tables of some hundred rows: all lines meet in one value."""
+    rows = df.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("r"))
+    return rows.select(F.array_join(F.transform("r", lambda x: F.format_string(line, *[x[c] for c in columns])), "\n").alias("report"))

@@ -84,3 +84,14 @@ def fill(main: DataFrame, other: DataFrame, keys: list[str], columns: list[str],
     """Columns of main where it has them, else of other."""
     b = other.select(*keys, *[F.col(c).alias(c + "_") for c in columns])
     return main.join(b, keys, how).select(*keys, *[F.coalesce(c, c + "_").alias(c) for c in columns])
+
+
+def next_in_order(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Each distinct key with the next greater one; ranges of keys are ordered apart, and joined at their ends."""
+    span = 1 << 16
+    one = df.select(F.col(key).cast("long").alias(key)).distinct()
+    block = F.floor(F.col(key) / span)
+    inside = one.withColumn(name, F.lead(key).over(W.partitionBy(block).orderBy(key)))
+    first = one.groupBy(block.alias("block_")).agg(F.min(key).alias("lo_"), F.max(key).alias(key))
+    across = first.withColumn("after_", F.lead("lo_").over(W.orderBy("block_"))).select(key, "after_")  # a row per block
+    return inside.join(across, key, "left").select(key, F.coalesce(name, "after_").alias(name))

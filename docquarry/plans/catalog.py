@@ -11,6 +11,7 @@ from docquarry.functions import columns as c
 from docquarry.operators import analysis, graph, scan, stats, versions
 from docquarry.session import table
 from docquarry.sources import pdf
+from docquarry.streaming import dropfolder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -166,11 +167,10 @@ def tag_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "(?d)<title>(.*)</title>", 1).alias("title"))
 
 
-@query("SELECT page_id, md5(encode(replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&'))) AS h FROM pages WHERE regexp_matches(html, '&(middot|copy|quot|amp);')")
+@query("SELECT page_id, md5(encode(replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&'))) AS h FROM pages")
 def entity_filter(spark, d):
-    """F8: entities of the rows that have any."""
-    rows = table(spark, d, "pages").where(F.col("html").rlike("&(middot|copy|quot|amp);"))
-    return rows.select("page_id", F.md5(escapes.unescape_entities_col(F.col("html")).cast("binary")).alias("h"))
+    """F8: entities of every page; those of the tables are four named ones."""
+    return table(spark, d, "pages").select("page_id", F.md5(escapes.unescape_entities_col(F.col("html")).cast("binary")).alias("h"))
 
 
 @query("SELECT page_id, array_to_string(regexp_extract_all(html, '[\"''](.*?)[\"'']', 1), '') AS joined FROM pages")
@@ -197,10 +197,15 @@ def byte_range(spark, d):
     return table(spark, d, "documents").select("doc_id", F.lower(F.hex(c.byte_range(F.col("text").cast("binary"), 16, 24))).alias("bytes"))
 
 
-@query("SELECT doc_id, rpad(trim(regexp_replace(lower(substr(hex(encode(text)), 1, 32)), '(..)', '\\1 ', 'g')), 47, ' ') AS pairs FROM documents")
-def hexdump_row(spark, d):
-    """The byte pairs of the first row."""
-    return table(spark, d, "documents").select("doc_id", F.substring(c.hexdump_row(F.col("text").cast("binary")), 1, 47).alias("pairs"))
+@query(r"""WITH b AS (SELECT doc_id, hex(encode(text)) AS x FROM documents), r AS (SELECT doc_id, unnest(range(0, greatest(length(x) // 2, 1), 16)) AS i, x FROM b),
+    p AS (SELECT doc_id, i, lower(substr(x, 2 * i + 1, 32)) AS part FROM r)
+    SELECT doc_id, CAST(count(*) AS BIGINT) AS n, md5(encode(string_agg(rpad(trim(regexp_replace(part, '(..)', '\1 ', 'g')), 47, ' ') || '  |' ||
+      array_to_string(list_transform(range(0, length(part) // 2), lambda k: CASE WHEN substr(part, 2 * k + 1, 2) BETWEEN '20' AND '7e' THEN chr(CAST('0x' || substr(part, 2 * k + 1, 2) AS INTEGER)) ELSE '.' END), '') || '|', chr(10) ORDER BY i))) AS h
+    FROM p GROUP BY doc_id""")
+def hexdump(spark, d):
+    """All rows of sixteen bytes with their gutter."""
+    rows = table(spark, d, "documents").select("doc_id", c.hexdump(F.col("text").cast("binary")).alias("rows"))
+    return rows.select("doc_id", F.size("rows").cast("long").alias("n"), F.md5(F.array_join("rows", "\n").cast("binary")).alias("h"))
 
 
 def _links(spark, d) -> DataFrame:
@@ -303,13 +308,12 @@ def changelog_removed(spark, d):
     return versions.removed(_snapshots(spark, d), ["user_id"], "day", next_version=F.col("day") + 1)
 
 
-@query(_DAYS + ", m AS (SELECT min(day) + 1 AS d FROM s), t AS (SELECT s.* FROM s, m WHERE day <= d) SELECT DISTINCT user_id FROM t WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM t WHERE event_type = 'click')")
+@query(_DAYS + " SELECT DISTINCT user_id, day FROM s WHERE event_type = 'error' AND (user_id, day) NOT IN (SELECT (user_id, day) FROM s WHERE event_type = 'click')")
 def changelog_incoherent(spark, d):
-    """In the body, but not in the table of contents."""
+    """In a version's body, but not in its table of contents."""
     s = _snapshots(spark, d)
-    two = s.join(F.broadcast(s.agg(F.min("day").alias("d"))), F.col("day") <= F.col("d") + 1)
-    errors, clicks = two.where("event_type = 'error'"), two.where("event_type = 'click'")
-    return versions.incoherent(errors, clicks, clicks.where("false"), ["user_id"])
+    errors, clicks = s.where("event_type = 'error'"), s.where("event_type = 'click'")
+    return versions.incoherent(errors, clicks, clicks.where("false"), ["user_id", "day"])
 
 
 def _parts(spark, d) -> DataFrame:
@@ -338,10 +342,10 @@ def container_offset(spark, d):
     return versions.container_offset(_parts(spark, d), ["conv_id"], "turn").select("conv_id", "turn", "offset")
 
 
-@query("WITH k AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 7 <> 0) SELECT g AS o_orderkey FROM (SELECT unnest(range(CAST(min(k) AS BIGINT), CAST(max(k) + 1 AS BIGINT))) AS g FROM k) WHERE g NOT IN (SELECT k FROM k)")
+@query("WITH k AS (SELECT o_orderkey AS k FROM orders WHERE o_orderpriority <> '1-URGENT') SELECT g AS o_orderkey FROM (SELECT unnest(range(CAST(min(k) AS BIGINT), CAST(max(k) + 1 AS BIGINT))) AS g FROM k) WHERE g NOT IN (SELECT k FROM k)")
 def xref_gap_fill(spark, d):
     """Missing numbers."""
-    return versions.gaps(table(spark, d, "orders").where("o_orderkey % 7 <> 0"), "o_orderkey")
+    return versions.gaps(table(spark, d, "orders").where("o_orderpriority <> '1-URGENT'"), "o_orderkey")
 
 
 @query(_PARTS + " SELECT conv_id, turn, coalesce(lag(start) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS prev FROM p")
@@ -350,12 +354,12 @@ def prev_chain(spark, d):
     return versions.previous(_parts(spark, d), ["conv_id"], ["turn"], "start", "prev").select("conv_id", "turn", F.coalesce("prev", F.lit(-1)).cast("long").alias("prev"))
 
 
-@query("SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, o_orderstatus AS value, o_orderkey IS NULL AS missing FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 5 <> 0) ON o_orderkey = l_orderkey")
+@query("SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, o_orderpriority AS value, o_orderkey IS NULL AS missing FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') ON o_orderkey = l_orderkey")
 def resolve_reference(spark, d):
-    """References with what they name; some are missing."""
-    objects = table(spark, d, "orders").where("o_orderkey % 5 <> 0")
+    """References with what they name; those to finished orders are missing."""
+    objects = table(spark, d, "orders").where("o_orderstatus <> 'F'")
     edges = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
-    return versions.resolve(edges, objects, dst="l_orderkey", object_id="o_orderkey", value="o_orderstatus")
+    return versions.resolve(edges, objects, dst="l_orderkey", object_id="o_orderkey", value="o_orderpriority")
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 5)")
@@ -367,12 +371,12 @@ def js_targets_second_pass(spark, d):
     return table(spark, d, "part").select("p_partkey").join(wanted, "p_partkey", "left_semi").join(known, "p_partkey", "left_anti")
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, min(o_orderpriority) AS v FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1), b AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 4 <> 0)
+@query("""WITH a AS (SELECT o_custkey AS k, min(o_orderpriority) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY 1), b AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_acctbal > 0)
     SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v FROM a FULL OUTER JOIN b ON a.k = b.k""")
 def trailer_coalesce(spark, d):
     """Of two sources the first that has it."""
-    a = table(spark, d, "orders").where("o_custkey % 3 <> 0").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderpriority").alias("v"))
-    b = table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
+    a = table(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderpriority").alias("v"))
+    b = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
     return versions.fill(a, b, ["k"], ["v"])
 
 
@@ -448,12 +452,12 @@ def json_report(spark, d):
     return table(spark, d, "documents").select("doc_id", report.alias("report"))
 
 
-@query("SELECT doc_id, count(*) AS reports FROM documents GROUP BY doc_id")
+@query("SELECT doc_id, lang, md5(encode(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'))) AS h FROM documents")
 def xml_report(spark, d):
-    """K2: one well-formed element per row; its text goes through Spark's XML reader again."""
+    """K2: one well-formed element per row; its text comes back from Spark's XML reader as it was (XML reads any line end as a line feed)."""
     report = stats.xml_report({"id": F.col("doc_id"), "lang": F.col("lang"), "text": F.col("text")})
-    back = table(spark, d, "documents").select("doc_id", F.from_xml(report, "id long, lang string, text string").alias("x"))
-    return back.where("x.id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("reports"))
+    back = table(spark, d, "documents").select("doc_id", F.from_xml(report, "id long, lang string, text string", {"ignoreSurroundingSpaces": "false"}).alias("x"))
+    return back.where("x.id = doc_id").select("doc_id", "x.lang", F.md5(F.coalesce("x.text", F.lit("")).cast("binary")).alias("h"))
 
 
 @query("SELECT doc_id, md5(encode(replace(text, 'the', 'THE'))) AS h FROM documents")
@@ -462,11 +466,11 @@ def replace_all(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.replace("text", F.lit("the"), F.lit("THE")).cast("binary")).alias("h"))
 
 
-@query("SELECT item_id, string_agg(lpad(lower(to_hex(xor(ascii(c), 99))), 2, '0'), '' ORDER BY i) AS x FROM (SELECT item_id, unnest(range(1, length(t) + 1)) AS i, unnest(string_split(t, '')) AS c FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark)) GROUP BY item_id")
+@query("SELECT doc_id, md5(encode(array_to_string(list_transform(range(0, strlen(text)), lambda i: lpad(lower(to_hex(xor(CAST('0x' || substr(hex(encode(text)), 2 * i + 1, 2) AS INTEGER), 99))), 2, '0')), ''))) AS h FROM (SELECT item_id AS doc_id, text FROM benchmark)")
 def xor_key_apply(spark, d):
-    """a key of one byte."""
-    rows = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("t"))
-    return scan.xor_apply(rows, b"\x63", content="t").where("t <> ''").select("item_id", F.lower(F.hex("xored")).alias("x"))
+    """every byte of every text XORed with a key of one byte."""
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return scan.xor_apply(rows, b"\x63", content="text").select("doc_id", F.md5(F.lower(F.hex("xored")).cast("binary")).alias("h"))
 
 
 @query("""WITH k AS (SELECT unnest(range(0, 256)) AS k), p AS (SELECT k, string_agg(lpad(lower(to_hex(xor(b, k))), 2, '0') || ' ', '' ORDER BY i) AS p FROM (SELECT k, unnest([1, 2, 3]) AS i, unnest([116, 104, 101]) AS b FROM k) GROUP BY k),
@@ -491,8 +495,8 @@ def chain_roundtrip(spark, d):
     return back.select("doc_id", F.md5("r.bytes").alias("h"), F.col("r.error").cast("string").alias("error"))
 
 
-def _pdfs(spark, d, password: bytes | None = None) -> DataFrame:
-    return pdf.generated(table(spark, d, "documents"), file_id="doc_id", payload="text", uri=F.concat(F.lit("http://example.org/"), F.col("doc_id").cast("string")), title=F.concat_ws("-", "lang", "source"), password=password)
+def _pdfs(spark, d, password: bytes | None = None, **how) -> DataFrame:
+    return pdf.generated(table(spark, d, "documents"), file_id="doc_id", payload="text", uri=F.concat(F.lit("http://example.org/"), F.col("doc_id").cast("string")), title=F.concat_ws("-", "lang", "source"), password=password, **how)
 
 
 _FIVE = "doc_id % 5 = 0"
@@ -543,49 +547,280 @@ def pdf_xref(spark, d):
 @query(f"SELECT doc_id AS file_id, v AS version, object_id, CASE WHEN v = 0 THEN 'added' ELSE 'modified' END AS change FROM (SELECT doc_id, v, CAST(unnest(CASE WHEN v = 0 THEN [1, 2, 3, 4, 5, 6] ELSE [4] END) AS INTEGER) AS object_id FROM (SELECT doc_id, CAST(unnest(CASE WHEN {_FIVE} THEN [0, 1] ELSE [0] END) AS INTEGER) AS v FROM documents))")
 def pdf_changelog(spark, d):
     """What each version of generated files changed."""
-    files = _pdfs(spark, d)
-    return analysis.changelog(pdf.parsed(files, "objects"), pdf.parsed(files, "xref_entries"))
+    t = pdf.parsed_tables(_pdfs(spark, d), ("objects", "xref_entries"))
+    return analysis.changelog(t["objects"], t["xref_entries"])
 
 
 @query(f"SELECT doc_id AS file_id, coalesce(v, -1) AS version, CAST(CASE WHEN v = 0 THEN 6 WHEN v = 1 THEN 1 WHEN {_FIVE} THEN 7 ELSE 6 END AS BIGINT) AS objects, CAST(CASE WHEN v IS NULL AND {_FIVE} THEN 2 ELSE 1 END AS BIGINT) AS streams, CAST(CASE WHEN v = 1 THEN 1 WHEN v IS NULL AND {_FIVE} THEN 1 + (doc_id % 4 <> 0)::INT ELSE (doc_id % 4 <> 0)::INT END AS BIGINT) AS encoded FROM (SELECT doc_id, CAST(unnest(CASE WHEN {_FIVE} THEN [0, 1, NULL] ELSE [0, NULL] END) AS INTEGER) AS v FROM documents)")
 def pdf_counts(spark, d):
     """A1, A2: counters per version, and over versions."""
-    files = _pdfs(spark, d)
-    return analysis.version_counts(pdf.parsed(files, "objects"), pdf.parsed(files, "streams")).select("file_id", F.coalesce("version", F.lit(-1)).alias("version"), "objects", "streams", "encoded")
+    t = pdf.parsed_tables(_pdfs(spark, d), ("objects", "streams"))
+    return analysis.version_counts(t["objects"], t["streams"]).select("file_id", F.coalesce("version", F.lit(-1)).alias("version"), "objects", "streams", "encoded")
 
 
 @query("SELECT doc_id AS file_id, CAST(unnest([1, 2, 3, 4, 5, 6]) AS INTEGER) AS node, CAST(unnest([0, 1, 2, 3, -1, 3]) AS INTEGER) AS depth, CAST(unnest([-1, 1, 2, 3, -1, 3]) AS INTEGER) AS parent, unnest(['/Catalog', '/Pages', '/Page', 'stream', 'dictionary', '/Annot']) AS label FROM documents")
 def pdf_tree(spark, d):
     """The logical tree of generated files."""
-    files = _pdfs(spark, d)
-    found = analysis.tree(pdf.parsed(files, "objects"), pdf.parsed(files, "edges"), pdf.parsed(files, "trailers"))
+    t = pdf.parsed_tables(_pdfs(spark, d), ("objects", "edges", "trailers"))
+    found = analysis.tree(t["objects"], t["edges"].where("origin = 'element'"), t["trailers"])
     return found.select("file_id", "node", *[F.coalesce(x, F.lit(-1)).alias(x) for x in ("depth", "parent")], "label")
 
 
 @query(f"SELECT doc_id AS file_id, CAST(unnest(CASE WHEN {_FIVE} THEN [0, 1] ELSE [0] END) AS INTEGER) AS version, '/Title' AS key, lang || '-' || source AS value FROM documents")
 def pdf_metadata(spark, d):
     """The information dictionary of each version."""
-    files = _pdfs(spark, d)
-    return analysis.metadata(pdf.parsed(files, "dict_entries"), pdf.parsed(files, "trailers"))
+    t = pdf.parsed_tables(_pdfs(spark, d), ("dict_entries", "trailers"))
+    return analysis.metadata(t["dict_entries"], t["trailers"])
 
 
-@query("SELECT doc_id AS file_id, 0 AS version, '3' AS ids FROM documents")
+@query(f"SELECT doc_id AS file_id, CAST(unnest(CASE WHEN {_FIVE} THEN [0, 1] ELSE [0] END) AS INTEGER) AS version, '4' AS ids FROM documents WHERE regexp_matches(text, 'the[a-z]*ing', 'i')")
 def pdf_search(spark, d):
-    """P10: ids per version of the objects that hold a text."""
-    files = _pdfs(spark, d)
-    found = analysis.search_objects(pdf.parsed(files, "objects"), pdf.parsed(files, "streams"), "/mediabox")
+    """P10: ids per version of the objects that hold a text, decoded streams included."""
+    t = pdf.parsed_tables(_pdfs(spark, d), ("objects", "streams"))
+    found = analysis.search_objects(t["objects"], t["streams"], "the[a-z]*ing", regex=True)
     return found.select("file_id", "version", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-@query("SELECT doc_id AS file_id, true AS same FROM documents")
+@query("SELECT doc_id AS file_id, CAST(6 AS BIGINT) AS objects, md5(encode(text)) AS h FROM documents")
 def pdf_save_version(spark, d):
-    """K6: the first version cut out of each file parses to the six first objects."""
+    """K6: the first version cut out of each file has the six first objects, and the first content stream."""
     files = _pdfs(spark, d)
     first = analysis.up_to_version(files, pdf.parsed(files, "versions"), 0)
-    return pdf.parsed(first, "objects").groupBy("file_id").agg((F.count(F.lit(1)) == 6).alias("same"))
+    t = pdf.parsed_tables(first, ("objects", "streams"))
+    n = t["objects"].groupBy("file_id").agg(F.count(F.lit(1)).alias("objects"))
+    return n.join(t["streams"].select("file_id", F.md5("decoded").alias("h")), "file_id")
 
 
 @query(f"SELECT doc_id AS file_id, 0 AS version, md5(encode(text)) AS h FROM documents UNION ALL SELECT doc_id, 1, md5(encode('updated ' || text)) FROM documents WHERE {_FIVE}")
 def pdf_decrypt(spark, d):
     """Streams of encrypted files, opened with the password."""
     return pdf.parsed(_pdfs(spark, d, b"secret"), "streams", password=b"secret").select("file_id", "version", F.md5("decoded").alias("h"))
+
+
+@query(f"SELECT doc_id AS file_id, 0 AS version, md5(encode(text)) AS h FROM documents UNION ALL SELECT doc_id, 1, md5(encode('updated ' || text)) FROM documents WHERE {_FIVE}")
+def pdf_aes(spark, d):
+    """Streams of files encrypted by AES, opened with the owner's password."""
+    return pdf.parsed(_pdfs(spark, d, b"secret", cipher="aes").repartition(8, "file_id"), "streams", password=b"owner").select("file_id", "version", F.md5("decoded").alias("h"))
+
+
+@query("SELECT doc_id AS file_id, CAST(unnest([1, 2, 3, 4, 5, 6, 8, 9]) AS INTEGER) AS object_id, unnest(['/Catalog', '/Pages', '/Page', '', '', '/Annot', '/ObjStm', '/XRef']) AS dict_type, CAST(unnest([8, 8, 8, -1, 8, 8, -1, -1]) AS INTEGER) AS compressed_in FROM documents")
+def pdf_object_stream(spark, d):
+    """Objects that lie in an object stream."""
+    found = pdf.parsed(_pdfs(spark, d, compressed=True), "objects")
+    return found.select("file_id", "object_id", "dict_type", F.coalesce("compressed_in", F.lit(-1)).alias("compressed_in"))
+
+
+@query("SELECT doc_id AS file_id, CAST(unnest([0, 1, 2, 3, 4, 5, 6, 8, 9]) AS INTEGER) AS object_id, unnest(['free', 'compressed', 'compressed', 'compressed', 'used', 'compressed', 'compressed', 'used', 'used']) AS kind, true AS in_stream FROM documents")
+def pdf_xref_stream(spark, d):
+    """Cross-reference entries from a stream, in two ranges."""
+    return pdf.parsed(_pdfs(spark, d, compressed=True), "xref_entries").select("file_id", "object_id", "kind", "in_stream")
+
+
+@query("SELECT doc_id AS file_id, true AS in_stream, CAST(10 AS BIGINT) AS size, 1 AS root, 5 AS info FROM documents")
+def pdf_trailer_stream(spark, d):
+    """The trailer that a cross-reference stream stands for."""
+    return pdf.parsed(_pdfs(spark, d, compressed=True), "trailers").select("file_id", "in_stream", "size", "root", "info")
+
+
+@query("SELECT doc_id AS file_id, CAST(unnest([1, 2, 3, 4, 5, 6, 8, 9]) AS INTEGER) AS node, CAST(unnest([0, 1, 2, 3, -1, 3, -1, -1]) AS INTEGER) AS depth FROM documents")
+def pdf_tree_compressed(spark, d):
+    """G2 over objects of an object stream."""
+    t = pdf.parsed_tables(_pdfs(spark, d, compressed=True), ("objects", "edges", "trailers"))
+    found = analysis.tree(t["objects"], t["edges"].where("origin = 'element' and src_id <> 9"), t["trailers"])
+    return found.select("file_id", "node", F.coalesce("depth", F.lit(-1)).alias("depth"))
+
+
+def _scripted(spark, d) -> DataFrame:
+    """Files with a script that the catalog opens; which one follows from the text."""
+    known = F.when(F.contains("text", F.lit("the")), F.lit("var a = util.printf; this.getIcon(a);")).when(F.contains("text", F.lit("que")), F.lit("app.mailto(1); mailto(2);")).otherwise(F.lit("var q = 1;"))
+    return _pdfs(spark, d, script=known)
+
+
+_SCRIPT = "SELECT doc_id AS file_id, CASE WHEN contains(text, 'the') THEN 1 WHEN contains(text, 'que') THEN 2 ELSE 3 END AS kind FROM documents"
+
+
+@query(f"SELECT file_id, CAST(7 AS INTEGER) AS object_id, 'referred' AS origin, CASE kind WHEN 1 THEN 'var a = util.printf; this.getIcon(a);' WHEN 2 THEN 'app.mailto(1); mailto(2);' ELSE 'var q = 1;' END AS code FROM ({_SCRIPT})")
+def pdf_javascript(spark, d):
+    """Scripts that the catalog's action names."""
+    t = pdf.parsed_tables(_scripted(spark, d), ("objects", "dict_entries", "streams"))
+    return analysis.javascript(t["objects"], t["dict_entries"], t["streams"]).where("origin = 'referred'").select("file_id", "object_id", "origin", "code")
+
+
+_FINDINGS = f"""SELECT file_id, f.category AS category, f.token AS token, CAST(f.id AS VARCHAR) AS ids FROM ({_SCRIPT}) CROSS JOIN (
+      SELECT unnest([1, 2, 3, 1, 2, 3, 1, 2, 3, 1, 1, 2]) AS of_kind, unnest([
+        {{'category': 'event', 'token': '/OpenAction', 'id': 1}}, {{'category': 'event', 'token': '/OpenAction', 'id': 1}}, {{'category': 'event', 'token': '/OpenAction', 'id': 1}},
+        {{'category': 'action', 'token': '/JavaScript', 'id': 1}}, {{'category': 'action', 'token': '/JavaScript', 'id': 1}}, {{'category': 'action', 'token': '/JavaScript', 'id': 1}},
+        {{'category': 'action', 'token': '/JS', 'id': 1}}, {{'category': 'action', 'token': '/JS', 'id': 1}}, {{'category': 'action', 'token': '/JS', 'id': 1}},
+        {{'category': 'js_vuln', 'token': 'util.printf', 'id': 7}}, {{'category': 'js_vuln', 'token': 'getIcon', 'id': 7}}, {{'category': 'js_vuln', 'token': 'mailto', 'id': 7}}]) AS f
+    ) WHERE kind = of_kind"""
+
+
+@query(_FINDINGS)
+def pdf_findings(spark, d):
+    """A3, A4: suspicious markers of files with scripts, ids per token."""
+    t = pdf.parsed_tables(_scripted(spark, d), ("objects", "dict_entries", "streams"))
+    scripts = analysis.javascript(t["objects"], t["dict_entries"], t["streams"]).where("origin = 'referred'")
+    found = analysis.suspicious(analysis.findings(t["objects"], t["streams"], scripts))
+    return found.select("file_id", "category", "token", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query(f"""WITH f AS ({_FINDINGS}), s AS (SELECT file_id, string_agg('{{"category":"' || category || '","token":"' || token || '","ids":[' || ids || ']}}', ',' ORDER BY category, token) AS found FROM f GROUP BY file_id)
+    SELECT doc_id AS file_id, '{{"pdf_version":"1.4","updates":' || CASE WHEN {_FIVE} THEN 1 ELSE 0 END || ',"encrypted":false,"versions":[{{"version":0,"objects":7,"streams":2}}' || CASE WHEN {_FIVE} THEN ',{{"version":1,"objects":1,"streams":1}}' ELSE '' END || '],"suspicious":[' || found || ']}}' AS report
+    FROM documents JOIN s ON file_id = doc_id""".replace("{{", "{").replace("}}", "}"))
+def pdf_report(spark, d):
+    """The nested report of a file, its versions and suspicious markers inside."""
+    t = pdf.parsed_tables(_scripted(spark, d), ("files", "objects", "dict_entries", "streams"))
+    scripts = analysis.javascript(t["objects"], t["dict_entries"], t["streams"]).where("origin = 'referred'")
+    whole = analysis.report(t["files"], t["objects"], t["streams"], analysis.findings(t["objects"], t["streams"], scripts))
+    # what does not depend on the bytes of the files
+    shape = "pdf_version string, updates int, encrypted boolean, versions array<struct<version: int, objects: long, streams: long>>, suspicious array<struct<category: string, token: string, ids: array<int>>>"
+    return whole.select("file_id", F.to_json(F.from_json("report", shape)).alias("report"))
+
+
+@query(f"""SELECT doc_id AS file_id, '1.4' AS pdf_version, CAST(CASE WHEN {_FIVE} THEN 2 ELSE 1 END AS BIGINT) AS versions, CAST(CASE kind WHEN 1 THEN 5 WHEN 2 THEN 4 ELSE 3 END AS BIGINT) AS markers FROM documents JOIN ({_SCRIPT}) ON file_id = doc_id""")
+def pdf_report_xml(spark, d):
+    """K2: the nested report as XML, read back."""
+    t = pdf.parsed_tables(_scripted(spark, d), ("files", "objects", "dict_entries", "streams"))
+    scripts = analysis.javascript(t["objects"], t["dict_entries"], t["streams"]).where("origin = 'referred'")
+    whole = analysis.report(t["files"], t["objects"], t["streams"], analysis.findings(t["objects"], t["streams"], scripts), form="xml")
+    back = whole.select("file_id", F.from_xml("report", "pdf_version string, versions array<struct<version: int>>, suspicious array<struct<token: string>>").alias("x"))
+    return back.select("file_id", "x.pdf_version", F.size("x.versions").cast("long").alias("versions"), F.size("x.suspicious").cast("long").alias("markers"))
+
+
+@query(f"SELECT doc_id AS file_id, CAST(unnest(CASE WHEN {_FIVE} THEN [0, 1] ELSE [0] END) AS INTEGER) AS version, CAST(unnest(CASE WHEN {_FIVE} THEN [7, 1] ELSE [7] END) AS BIGINT) AS entries, CAST(unnest(CASE WHEN {_FIVE} THEN [1, 0] ELSE [1] END) AS BIGINT) AS free, CAST(7 AS BIGINT) AS size, unnest(CASE WHEN {_FIVE} THEN [false, true] ELSE [false] END) AS has_prev FROM documents")
+def pdf_section_stats(spark, d):
+    """A10: cross-reference sections and trailers per version."""
+    t = pdf.parsed_tables(_pdfs(spark, d), ("xref_entries", "trailers"))
+    return analysis.section_stats(t["xref_entries"], t["trailers"]).select("file_id", "version", "entries", "free", "size", F.col("prev").isNotNull().alias("has_prev"))
+
+
+@query(f"SELECT doc_id AS file_id, v AS version, CAST(unnest(CASE WHEN v = 0 THEN [1, 2, 3, 4, 5, 6] ELSE [4] END) AS INTEGER) AS object_id, CAST(unnest(CASE WHEN v = 0 THEN [1, 1, 3, 0, 0, 0] ELSE [0] END) AS BIGINT) AS refs, unnest(CASE WHEN v = 1 THEN [true] ELSE [false, false, false, doc_id % 4 <> 0, false, false] END) AS encoded FROM (SELECT doc_id, CAST(unnest(CASE WHEN {_FIVE} THEN [0, 1] ELSE [0] END) AS INTEGER) AS v FROM documents)")
+def pdf_object_stats(spark, d):
+    """References and flags per object."""
+    t = pdf.parsed_tables(_pdfs(spark, d), ("objects", "edges", "streams"))
+    return analysis.object_stats(t["objects"], t["edges"].where("origin = 'element'"), t["streams"]).select("file_id", "version", "object_id", "refs", "encoded")
+
+
+@query("SELECT error, count(*) AS n FROM (SELECT unnest(CASE WHEN lang = 'en' THEN ['no header'] ELSE ['no end-of-file mark'] END) AS error FROM documents WHERE NOT contains(text, '%%EOF') AND NOT contains(text, '%PDF-')) GROUP BY error")
+def pdf_errors(spark, d):
+    """Faults of damaged files, counted: English ones lost their header, others their end marks."""
+    docs = table(spark, d, "documents").where("not contains(text, '%%EOF') and not contains(text, '%PDF-')")
+    files = _pdfs(spark, d).join(docs.select(F.col("doc_id").alias("file_id"), "lang"), "file_id")
+    x = F.hex("content")
+    broken = F.when(F.col("lang") == "en", F.substring(x, 17, 1 << 30)).otherwise(F.replace(x, F.lit("2525454F46"), F.lit("2525454F47")))
+    return analysis.error_counts(pdf.parsed(files.select("file_id", F.unhex(broken).alias("content")), "files"))
+
+
+@query("SELECT doc_id, md5(encode(array_to_string(list_transform(string_split(text, ''), lambda x: '\\' || to_base(unicode(x) & 255, 8, 3)), ''))) AS octal, md5(encode(array_to_string(list_transform(string_split(text, ''), lambda x: CASE WHEN x = '/' THEN x ELSE '#' || lower(to_base(unicode(x) & 255, 16, 2)) END), ''))) AS name FROM documents WHERE text <> ''")
+def escape_encode(spark, d):
+    """every character as an octal code, and as in a name."""
+    rows = table(spark, d, "documents").where("text <> ''")
+    return rows.select("doc_id", F.md5(escapes.encode_octal_col(F.col("text")).cast("binary")).alias("octal"), F.md5(escapes.encode_name_col(F.col("text")).cast("binary")).alias("name"))
+
+
+@query(r"SELECT doc_id, md5(encode(array_to_string(list_transform(string_split(text, ''), lambda x: chr(CAST(unicode(x) & 255 AS INTEGER))), ''))) AS octal, md5(encode(array_to_string(list_transform(string_split(text, ''), lambda x: chr(CAST(unicode(x) & 255 AS INTEGER))), ''))) AS name, md5(encode(text)) AS literal FROM documents WHERE text <> '' AND NOT regexp_matches(text, '[\x{100}-\x{10ffff}]')")
+def escape_roundtrip(spark, d):
+    """codes decoded again, and the escapes of literal strings; texts of one byte a character."""
+    rows = table(spark, d, "documents").where("text <> ''").where(F.regexp_count("text", F.lit(r"[\x{100}-\x{10ffff}]")) == 0)
+    t = F.col("text")
+    return rows.select("doc_id", F.md5(escapes.decode_octal_col(escapes.encode_octal_col(t)).cast("binary")).alias("octal"), F.md5(escapes.decode_name_col(escapes.encode_name_col(t)).cast("binary")).alias("name"), F.md5(escapes.unescape_string_col(escapes.escape_string_col(t)).cast("binary")).alias("literal"))
+
+
+@query(r"SELECT doc_id, md5(encode(regexp_replace(text, '([\\.*?+^$(){}\[\]|])', '\\\1', 'g'))) AS h FROM documents")
+def escape_regex(spark, d):
+    """F6."""
+    return table(spark, d, "documents").select("doc_id", F.md5(c.escape_regex(F.col("text")).cast("binary")).alias("h"))
+
+
+@query("SELECT o_orderkey, right(lpad(to_base(o_orderkey, 2), 64, '0'), 24) AS bits, upper(lpad(to_base(o_orderkey, 16), 16, '0')) AS wide, CASE WHEN o_orderkey < 65536 THEN upper(lpad(to_base(o_orderkey, 16), 4, '0')) END AS narrow, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS digits FROM orders")
+def number_conversions(spark, d):
+    """numbers as bits, bytes and padded text; null where they are too wide."""
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", c.bits_of(k, 24).alias("bits"), F.hex(c.number_to_bytes(k, 8)).alias("wide"), F.hex(c.number_to_bytes(k, 2)).alias("narrow"), c.number_to_text(k, 12).alias("digits"))
+
+
+@query("SELECT item_id, md5(encode(array_to_string(list_transform(range(0, strlen(text) * 2), lambda i: CAST(CAST('0x' || substr(hex(encode(text)), i + 1, 1) AS INTEGER) AS VARCHAR)), ','))) AS nibbles, md5(encode(upper(hex(encode(text))))) AS packed FROM benchmark")
+def byte_unpack(spark, d):
+    """bytes as numbers of four bits, and bits and digits back to bytes."""
+    data = F.col("text").cast("binary")
+    nibbles = c.numbers_of_bytes(data, 4)
+    bits = F.array_join(F.transform(nibbles, lambda n: c.bits_of(n, 4)), "")
+    rows = table(spark, d, "benchmark").select("item_id", data.alias("data"), nibbles.alias("nibbles"), c.bytes_of_bits(bits).alias("packed"), c.hex_to_bytes(F.hex(data)).alias("left"), c.hex_string_to_bytes(F.hex(data)).alias("right"))
+    return rows.where("packed = left and packed = right").select("item_id", F.md5(F.array_join(F.col("nibbles").cast("array<string>"), ",").cast("binary")).alias("nibbles"), F.md5(F.hex("packed").cast("binary")).alias("packed"))
+
+
+@query("SELECT item_id, array_to_string(list_transform(string_split(text, ''), lambda x: lower(to_base(unicode(x) & 255, 16, 2)) || lower(to_base(unicode(x) >> 8, 16, 2))), '') AS x FROM benchmark WHERE text <> ''")
+def unescape_js(spark, d):
+    """F16: %uABCD to bytes, low one first."""
+    coded = F.array_join(F.transform(F.split("text", ""), lambda x: F.concat(F.lit("%u"), F.lpad(F.hex(F.ascii(x)), 4, "0"))), "")
+    return table(spark, d, "benchmark").where("text <> ''").select("item_id", F.lower(F.hex(escapes.unescape_js_col(coded))).alias("x"))
+
+
+@query("SELECT item_id, text AS content FROM benchmark WHERE text <> '' AND NOT contains(text, '\"')")
+def variable_content(spark, d):
+    """an expression of quoted parts and variables, put together."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    script = F.concat(F.lit("var a = "), quoted(F.left("text", half)), F.lit("; var b = a + "), quoted(F.expr("substring(text, cast(floor(length(text) / 2) as int) + 1)")), F.lit("; eval(b);"))
+    rows = table(spark, d, "benchmark").where("text <> ''").where(~F.contains("text", F.lit('"')))
+    return rows.select("item_id", escapes.variable_content_col(script, "b").alias("content"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, 'track\\(')) AS BIGINT) AS calls FROM pages")
+def function_calls(spark, d):
+    """calls of a function by its name or by another that stands for it."""
+    aliased = F.concat(F.lit("var alias = track; "), F.regexp_replace("html", r"track\(", "alias("))
+    return table(spark, d, "pages").select("page_id", F.size(escapes.calls_col(aliased, "track")).cast("long").alias("calls"))
+
+
+@query("SELECT doc_id, CAST(len(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS BIGINT) AS n FROM documents")
+def line_count(spark, d):
+    """Lines that end in CR LF, CR or LF."""
+    return table(spark, d, "documents").select("doc_id", F.size(analysis.lines(F.col("text"))).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, n_chars > 1000 AS bmp, n_chars > 91 AS sing FROM (SELECT doc_id, least(CAST(length(text) AS BIGINT), 1500) AS n_chars FROM documents)")
+def font_and_bitmap_markers(spark, d):
+    """A font name that runs over, and a token that occurs too often, in contents made by length."""
+    n = F.least(F.length("text"), F.lit(1500))
+    font = F.concat(F.lit("x" * 236).cast("binary"), F.lit("SING").cast("binary"), F.repeat(F.lit("y"), F.greatest(n - 4, F.lit(0))).cast("binary"))
+    return table(spark, d, "documents").select("doc_id", c.bmp_rle(F.repeat(F.lit(rules.BMP_RLE_TOKEN), n), rules.BMP_RLE_TOKEN, rules.BMP_RLE_MORE_THAN).alias("bmp"), c.sing_font(font).alias("sing"))
+
+
+@query(r"SELECT page_id, '[' || coalesce(string_agg(r, ',' ORDER BY r), '') || ']' AS refs FROM (SELECT page_id, (page_id % 97) || ' 0 R' AS r FROM pages UNION SELECT page_id, length(url) || ' 0 R' FROM pages) GROUP BY page_id")
+def element_union(spark, d):
+    """References of all elements of a value, each once."""
+    text = F.concat(F.lit("<< /A [ "), (F.col("page_id") % 97).cast("string"), F.lit(" 0 R "), F.length("url").cast("string"), F.lit(" 0 R ] /B "), (F.col("page_id") % 97).cast("string"), F.lit(" 0 R >>"))
+    refs = c.references_in(text)
+    again = F.transform(refs, lambda r: F.concat(c.reference_id(r).cast("string"), F.lit(" 0 R")))
+    return table(spark, d, "pages").select("page_id", F.concat(F.lit("["), F.array_join(F.array_sort(F.array_union(refs, again)), ","), F.lit("]")).alias("refs"))
+
+
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(malicious) AS BIGINT) AS malicious FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS malicious FROM events) GROUP BY user_id")
+def reputation(spark, d):
+    """A user's verdicts joined by hash, those without a verdict counted too."""
+    events = table(spark, d, "events").select("event_id", "user_id", F.md5(F.col("event_id").cast("string").cast("binary")).alias("md5"), "event_type")
+    verdicts = events.where("event_type = 'error'").select("md5", F.lit(1).alias("malicious"), F.lit(0).alias("suspicious"), F.lit(0).alias("undetected"), F.lit(0).alias("harmless"))
+    found = analysis.with_reputation(events.select("user_id", "md5"), verdicts)
+    return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("detection", F.lit(0.0))).cast("long").alias("malicious"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_counts(spark, d):
+    """The windowed counts of the streaming module, over a table that is whole."""
+    return dropfolder.event_counts(table(spark, d, "events")).select(F.col("start").cast("date").alias("day"), "event_type", "n")
+
+
+@query("SELECT string_agg(source || ': ' || n || ' documents, ' || c || ' characters', chr(10) ORDER BY source) AS report FROM (SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS c FROM documents GROUP BY source)")
+def text_report(spark, d):
+    """K3: counts as lines of a text."""
+    rows = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("c"))
+    return stats.text_report(rows, "%s: %d documents, %d characters", ["source", "n", "c"])
+
+
+@query("WITH RECURSIVE k AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey AS k FROM part WHERE p_size = 1), r(i, k, depth) AS (SELECT i, k, 0 FROM k WHERE i = 1 UNION ALL SELECT k.i, k.k, depth + 1 FROM r JOIN k ON k.i = r.i + 1) SELECT CAST(k AS BIGINT) AS node, CAST(depth AS INTEGER) AS depth FROM r")
+def tree_deep(spark, d):
+    """G2 over a chain: each part of size 1 leads to the next one; as deep as there are such parts."""
+    parts = table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").cast("long").alias("src"))
+    edges = versions.next_in_order(parts, "src", "dst").where("dst is not null")
+    return graph.reach(edges, parts.agg(F.min("src").alias("node"))).select("node", "depth")

@@ -8,9 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry import scratch
 from docquarry.codecs import filters
 from docquarry.sources import pdf_syntax, pdf_writer
 
+#: Files of a folder that one task of the data source reads.
+FILES = 64
+
 SCHEMAS = {
     "files": "file_id long, size long, md5 string, sha1 string, sha256 string, pdf_version string, header_offset long, binary boolean, linearized boolean, encrypted boolean, updates int, errors array<string>",
     "versions": "file_id long, version int, offset long, length long",
@@ -83,28 +87,87 @@ def _uris(value, depth: int = 0) -> Iterator[str]:
             yield from _uris(x, depth + 1)
 
 
+#: Tables that need no stream decoded but those that hold a file's structure.
+_STRUCTURE = {"files", "versions", "dict_entries", "xref_entries", "trailers", "uris"}
+#: Rows of a table, and bytes of streams, that are handed on together.
+_ROWS, _BYTES = 2000, 8 << 20
+_NUMBERS = ("compressed_in", "prev", "startxref", "root", "info", "declared_length", "size")
+
+
+def _names(table: str) -> list[str]:
+    return [c.split(" ")[0] for c in SCHEMAS[table].split(", ")]
+
+
+def _frame(table: str, rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=_names(table))
+    for c in _NUMBERS:
+        if c in out:
+            out[c] = out[c].astype("Int64")
+    return out
+
+
+def _contents(files: DataFrame) -> DataFrame:
+    return files.select(F.col("file_id").cast("long").alias("file_id"), F.col("content").cast("binary").alias("content"))
+
+
 def parsed(files: DataFrame, table: str, *, strict: bool = False, loose: bool = False, password: bytes = b"", limit: int = filters.LIMIT) -> DataFrame:
     """files (file_id long, content binary) to one of the tables in SCHEMAS.
 
     A file that cannot be read is a row with errors, never a failed job, unless
-    strict. A null content gives no rows.
+    strict. A null content gives no rows. Rows go on as they come, not a batch of
+    files at once; streams are decoded for the tables that show them only.
     """
-    schema = SCHEMAS[table]
-    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for frame in frames:
-            rows = []
             for file_id, content in frame.itertuples(index=False):
-                if content is not None:
-                    rows += _rows(table, int(file_id), pdf_syntax.parse(bytes(content), strict=strict, loose=loose, password=password, limit=limit))
-            out = pd.DataFrame(rows, columns=names)
-            for c in ("compressed_in", "prev", "startxref", "root", "info", "declared_length", "size"):
-                if c in out:
-                    out[c] = out[c].astype("Int64")
-            yield out
+                if content is None:
+                    continue
+                rows += _rows(table, int(file_id), pdf_syntax.parse(bytes(content), strict=strict, loose=loose, password=password, limit=limit, decode=table not in _STRUCTURE))
+                held += len(content) if table == "streams" else 0
+                if len(rows) >= _ROWS or held >= _BYTES:
+                    yield _frame(table, rows)
+                    rows, held = [], 0
+        if rows:
+            yield _frame(table, rows)
 
-    return files.select(F.col("file_id").cast("long").alias("file_id"), F.col("content").cast("binary").alias("content")).mapInPandas(run, schema)
+    return _contents(files).mapInPandas(run, SCHEMAS[table])
+
+
+def parsed_tables(files: DataFrame, tables: tuple[str, ...], *, strict: bool = False, loose: bool = False, password: bytes = b"", limit: int = filters.LIMIT) -> dict[str, DataFrame]:
+    """Several tables of SCHEMAS from one parse of each file, written to the shared folder, a part for each table.
+
+    A row holds its table's name and that table's columns in a struct of its own,
+    so a reader of one table opens that table's files and columns only.
+    """
+    schema = "table string, " + ", ".join(f"{t} struct<{', '.join(c.replace(' ', ': ', 1) for c in SCHEMAS[t].split(', '))}>" for t in tables)
+    decode = not _STRUCTURE.issuperset(tables)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["table", *tables])
+
+        for frame in frames:
+            for file_id, content in frame.itertuples(index=False):
+                if content is None:
+                    continue
+                f = pdf_syntax.parse(bytes(content), strict=strict, loose=loose, password=password, limit=limit, decode=decode)
+                for place, table in enumerate(tables):
+                    names = _names(table)
+                    for row in _rows(table, int(file_id), f):
+                        rows.append((table, *[None] * place, dict(zip(names, row, strict=True)), *[None] * (len(tables) - place - 1)))
+                held += len(content)
+                if len(rows) >= _ROWS or held >= _BYTES:
+                    yield out()
+                    rows, held = [], 0
+        if rows:
+            yield out()
+
+    kept = scratch.keep(_contents(files).mapInPandas(run, schema), "parsed", partition_by="table")
+    return {t: kept.where(F.col("table") == t).select(f"{t}.*") for t in tables}
 
 
 def read_files(spark: SparkSession, path: str, *, glob: str = "*.pdf") -> DataFrame:
@@ -113,17 +176,31 @@ def read_files(spark: SparkSession, path: str, *, glob: str = "*.pdf") -> DataFr
     return found.select(F.xxhash64("path").alias("file_id"), "path", "content")
 
 
-def generated(df: DataFrame, *, file_id: str, payload: str, uri: Column, title: Column, password: bytes | None = None) -> DataFrame:
-    """(file_id, content): one PDF per row, filters by id modulo 4; each fifth has an update that redefines the stream. A password encrypts."""
+def generated(df: DataFrame, *, file_id: str, payload: str, uri: Column, title: Column, password: bytes | None = None, cipher: str = "rc4", compressed: bool = False, script: Column | None = None) -> DataFrame:
+    """(file_id, content): one PDF per row, filters by id modulo 4; each fifth has an update that redefines the stream. A password encrypts.
+
+    compressed puts the objects into an object stream, with a cross-reference stream
+    and no update; script adds one that the catalog opens.
+    """
     @F.pandas_udf("binary")
-    def make(i: pd.Series, p: pd.Series, u: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([pdf_writer.build((b or "").encode(), chain=list(pdf_writer.CHAINS[k % 4]), uri=x or "", title=y or "", update=b"updated " + (b or "").encode() if k % 5 == 0 else None, password=password) for k, b, x, y in zip(i, p, u, t, strict=True)], dtype=object)
+    def make(i: pd.Series, p: pd.Series, u: pd.Series, t: pd.Series, s: pd.Series) -> pd.Series:
+        out = []
+        for k, b, x, y, code in zip(i, p, u, t, s, strict=True):
+            data, chain = (b or "").encode(), list(pdf_writer.CHAINS[k % 4])
+            if compressed:
+                out.append(pdf_writer.build_compressed(data, chain=chain, uri=x or "", title=y or ""))
+            else:
+                out.append(pdf_writer.build(data, chain=chain, uri=x or "", title=y or "", update=b"updated " + data if k % 5 == 0 else None, password=password, cipher=cipher, script=None if code is None else code.encode()))
+        return pd.Series(out, dtype=object)
 
-    return df.select(F.col(file_id).cast("long").alias("file_id"), make(file_id, payload, uri, title).alias("content"))
+    return df.select(F.col(file_id).cast("long").alias("file_id"), make(file_id, payload, uri, title, script if script is not None else F.lit(None).cast("string")).alias("content"))
 
 
 def register(spark: SparkSession) -> None:
-    """Make spark.read.format("pdf_tables") known: option table, and path of a folder of PDF files that the workers can open."""
+    """Make spark.read.format("pdf_tables") known: option table, and path of a folder of PDF files that driver and workers mount alike.
+
+    For other stores and for large collections use read_files() and parsed(), which list and read by Spark.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(_source())
 
@@ -142,20 +219,22 @@ def _source():
                 yield f  # Spark checks them again
 
         def partitions(self):
-            import glob
             import os
 
-            return [InputPartition(p) for p in sorted(glob.glob(os.path.join(self.path, "**", "*.pdf"), recursive=True))]
+            found = sorted(os.path.join(d, n) for d, _, names in os.walk(os.path.abspath(self.path)) for n in names if n.endswith(".pdf"))
+            return [InputPartition(found[i : i + FILES]) for i in range(0, len(found), FILES)]
 
         def read(self, partition):
-            import zlib
-
-            with open(partition.value, "rb") as f:
-                data = f.read()
-            names = [c.split(" ")[0] for c in SCHEMAS[self.table].split(", ")]
-            for row in _rows(self.table, zlib.crc32(partition.value.encode()), pdf_syntax.parse(data)):
-                if self.version is None or "version" not in names or row[names.index("version")] == self.version:
-                    yield row
+            import xxhash
+
+            names = _names(self.table)
+            for path in partition.value:
+                with open(path, "rb") as f:
+                    data = f.read()
+                number = xxhash.xxh64_intdigest(f"file:{path}", 42)  # as read_files() has it
+                for row in _rows(self.table, number - (number >> 63 << 64), pdf_syntax.parse(data, decode=self.table not in _STRUCTURE)):
+                    if self.version is None or "version" not in names or row[names.index("version")] == self.version:
+                        yield row
 
     class Source(DataSource):
         @classmethod

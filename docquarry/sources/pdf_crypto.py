@@ -175,21 +175,22 @@ def decrypt_file(file: File, encrypt, password: bytes) -> None:
         raise PdfError("security handler is not supported")
     v, r = _int(entries, "/V", 0), _int(entries, "/R", 2)
     length = _int(entries, "/Length", 40) // 8 if v != 1 else 5
-    method = "V2"
+    methods = {"/StmF": "V2", "/StrF": "V2"}  # of streams, and of strings
     if v in (4, 5):
-        name = entries.get("/StmF", ("name", "/Identity"))[1]
-        filter_ = entries.get("/CF", ("dictionary", {}))[1].get(name, ("dictionary", {}))[1]
-        method = filter_.get("/CFM", ("name", "/None"))[1].lstrip("/")
+        named = entries.get("/CF", ("dictionary", {}))[1]
+        for use in methods:
+            filter_ = named.get(entries.get(use, ("name", "/Identity"))[1], ("dictionary", {}))[1]
+            methods[use] = filter_.get("/CFM", ("name", "/None"))[1].lstrip("/")
         length = 16 if v == 4 else 32
     elif v not in (1, 2):
         raise PdfError(f"encryption version {v} is not supported")
+    metadata = entries.get("/EncryptMetadata", ("bool", True))[1]
     owner, user = _bytes(entries, "/O"), _bytes(entries, "/U")
     if v == 5:
         key = _key5(password, owner, user, entries)
     else:
         ids = next((t[2]["/ID"] for t in file.trailers if "/ID" in t[2]), ("array", []))[1]
         file_id = ids[0][1] if ids and ids[0][0] in ("string", "hexstring") else b""
-        metadata = entries.get("/EncryptMetadata", ("bool", True))[1]
         key = None
         for candidate in (password, user_password_of_owner(password, owner, r, length)):
             k = file_key(candidate, owner[:32], _int(entries, "/P", 0), file_id, r, length, metadata)
@@ -199,8 +200,8 @@ def decrypt_file(file: File, encrypt, password: bytes) -> None:
         if key is None:
             raise PdfError("password does not fit")
 
-    def plain(data: bytes, o) -> bytes:
-        if method == "None" or method == "Identity":
+    def plain(data: bytes, o, method: str) -> bytes:
+        if method in ("None", "Identity"):
             return data
         if method.startswith("AES"):
             k = key if v == 5 else object_key(key, o.object_id, o.gen, True)
@@ -210,7 +211,7 @@ def decrypt_file(file: File, encrypt, password: bytes) -> None:
     def walk(value, o):
         kind, inner = value
         if kind in ("string", "hexstring"):
-            return kind, plain(inner, o)
+            return kind, plain(inner, o, methods["/StrF"])
         if kind == "array":
             return kind, [walk(x, o) for x in inner]
         if kind == "dictionary":
@@ -221,8 +222,17 @@ def decrypt_file(file: File, encrypt, password: bytes) -> None:
         if o.object_id == own or o.value is None or o.compressed_in is not None or o.entries.get("/Type") == ("name", "/XRef"):
             continue
         o.value = walk(o.value, o)
-        if o.stream is not None:
-            o.stream = plain(o.stream, o)
+        if o.stream is not None and not (_own_filter(o) or not metadata and o.entries.get("/Type") == ("name", "/Metadata")):
+            o.stream = plain(o.stream, o, methods["/StmF"])
+
+
+def _own_filter(o) -> bool:
+    """A stream that names its own Crypt filter, the identity: it is not encrypted."""
+    names, params = o.entries.get("/Filter", ("null", None)), o.entries.get("/DecodeParms", ("null", None))
+    first = names if names[0] == "name" else names[1][0] if names[0] == "array" and names[1] else ("null", None)
+    given = params if params[0] == "dictionary" else params[1][0] if params[0] == "array" and params[1] else ("null", None)
+    name = given[1].get("/Name", ("name", "/Identity")) if given[0] == "dictionary" else ("name", "/Identity")
+    return first == ("name", "/Crypt") and name == ("name", "/Identity")
 
 
 def _key5(password: bytes, owner: bytes, user: bytes, entries: dict) -> bytes:

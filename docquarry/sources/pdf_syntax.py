@@ -238,8 +238,11 @@ def segments(data: bytes) -> list[tuple[int, int]]:
     return out or [(0, len(data))]
 
 
-def parse(data: bytes, *, strict: bool = False, loose: bool = False, password: bytes = b"", limit: int = filters.LIMIT) -> File:
-    """All versions of a file. loose: an object ends where the next one begins, whether or not endobj stands there."""
+def parse(data: bytes, *, strict: bool = False, loose: bool = False, password: bytes = b"", limit: int = filters.LIMIT, decode: bool = True) -> File:
+    """All versions of a file. loose: an object ends where the next one begins, whether or not endobj stands there.
+
+    Without decode only object and cross-reference streams are decoded, which hold the file's structure.
+    """
     out = File(len(data), hashlib.md5(data).hexdigest(), hashlib.sha1(data).hexdigest(), hashlib.sha256(data).hexdigest())
 
     def fault(text: str) -> None:
@@ -272,7 +275,8 @@ def parse(data: bytes, *, strict: bool = False, loose: bool = False, password: b
             fault(str(e))
     for o in out.objects:
         if o.stream is not None and o.compressed_in is None:
-            _decode(o, limit)
+            if decode or o.entries.get("/Type") in (("name", "/ObjStm"), ("name", "/XRef")):
+                _decode(o, limit)
             if o.entries.get("/Type") == ("name", "/ObjStm"):
                 for inner in _unpack(o):
                     known[inner.object_id] = inner

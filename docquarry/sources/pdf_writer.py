@@ -9,37 +9,70 @@ from docquarry.codecs.escapes import escape_string
 from docquarry.sources import pdf_crypto
 
 CHAINS = ([], ["FlateDecode"], ["ASCIIHexDecode", "FlateDecode"], ["RunLengthDecode"])
+_HEAD = b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n"
 
 
-def _stream(payload: bytes, chain: list[str], secret=bytes) -> bytes:
+def _stream(payload: bytes, chain: list[str], secret=bytes, more: str = "") -> bytes:
     data = secret(filters.encode(payload, chain))
     names = f"/Filter [ {' '.join('/' + n for n in chain)} ] " if chain else ""
-    return f"<< {names}/Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream"
+    return f"<< {more}{names}/Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream"
 
 
-def build(payload: bytes, *, chain: list[str], uri: str, title: str = "", update: bytes | None = None, password: bytes | None = None, owner: bytes = b"owner") -> bytes:
-    """Catalog, pages, page, content stream, information, link; with update, a second version that redefines the stream.
+class _Lock:
+    """Encryption of one file: what hides the bytes of an object, and the entries that say so."""
 
-    With a password, strings and streams are encrypted by RC4 with 128 bits.
-    """
-    hidden, entry = (lambda _: bytes), None
-    if password is not None:
-        file_id = hashlib.md5(payload).digest()
-        o = pdf_crypto.owner_entry(owner, password, 3, 16)
-        key = pdf_crypto.file_key(password, o, -4, file_id, 3, 16)
-        hidden = lambda n: lambda data: pdf_crypto.rc4(data, pdf_crypto.object_key(key, n, 0, False))
-        entry = f"<< /Filter /Standard /V 2 /R 3 /Length 128 /P -4 /O <{o.hex()}> /U <{pdf_crypto.user_entry(key, file_id, 3).hex()}> >>"
+    def __init__(self, payload: bytes, password: bytes | None, owner: bytes, cipher: str):
+        self.on, self.cipher = password is not None, cipher
+        if not self.on:
+            return
+        self.id = hashlib.md5(payload).digest()
+        revision = 4 if cipher == "aes" else 3
+        o = pdf_crypto.owner_entry(owner, password, revision, 16)
+        self.key = pdf_crypto.file_key(password, o, -4, self.id, revision, 16)
+        user = pdf_crypto.user_entry(self.key, self.id, revision)
+        how = "/V 4 /R 4 /Length 128 /CF << /StdCF << /CFM /AESV2 /AuthEvent /DocOpen /Length 16 >> >> /StmF /StdCF /StrF /StdCF" if cipher == "aes" else "/V 2 /R 3 /Length 128"
+        self.entry = f"<< /Filter /Standard {how} /P -4 /O <{o.hex()}> /U <{user.hex()}> >>".encode()
+
+    def of(self, number: int):
+        if not self.on:
+            return bytes
+        aes = self.cipher == "aes"
+        key = pdf_crypto.object_key(self.key, number, 0, aes)
+        if not aes:
+            return lambda data: pdf_crypto.rc4(data, key)
+        iv = hashlib.md5(self.id + number.to_bytes(4, "little")).digest()
+        return lambda data: iv + pdf_crypto.aes_cbc_encrypt(data, key, iv)
+
+    def string(self, text: str, number: int) -> str:
+        return f"({escape_string(text)})" if not self.on else f"<{self.of(number)(text.encode('latin-1', 'replace')).hex()}>"
 
-    def string(text: str, n: int) -> str:
-        return f"({escape_string(text)})" if entry is None else f"<{hidden(n)(text.encode('latin-1', 'replace')).hex()}>"
+    def trailer(self, number: int) -> str:
+        return f" /Encrypt {number} 0 R /ID [ <{self.id.hex()}> <{self.id.hex()}> ]" if self.on else ""
 
+
+def _bodies(lock: _Lock, uri: str, title: str, script: int | None) -> list[bytes]:
+    """Catalog, pages, page, (content stream), information, link."""
+    act = f" /OpenAction << /S /JavaScript /JS {script} 0 R >>" if script else ""
     page = "<< /Type /Page /Parent 2 0 R /MediaBox [ 0 0 612 792 ] /Contents 4 0 R /Annots [ 6 0 R ] >>"
-    link = f"<< /Type /Annot /Subtype /Link /Rect [ 0 0 9 9 ] /A << /Type /Action /S /URI /URI {string(uri, 6)} >> >>"
-    bodies = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [ 3 0 R ] /Count 1 >>", page.encode("latin-1"), _stream(payload, chain, hidden(4)), f"<< /Title {string(title, 5)} >>".encode("latin-1", "replace"), link.encode("latin-1", "replace")]
-    more = ""
-    if entry is not None:
-        bodies.append(entry.encode())
-        more = f" /Encrypt 7 0 R /ID [ <{file_id.hex()}> <{file_id.hex()}> ]"
+    link = f"<< /Type /Annot /Subtype /Link /Rect [ 0 0 9 9 ] /A << /Type /Action /S /URI /URI {lock.string(uri, 6)} >> >>"
+    texts = [f"<< /Type /Catalog /Pages 2 0 R{act} >>", "<< /Type /Pages /Kids [ 3 0 R ] /Count 1 >>", page, "", f"<< /Title {lock.string(title, 5)} >>", link]
+    return [t.encode("latin-1", "replace") for t in texts]
+
+
+def build(payload: bytes, *, chain: list[str], uri: str, title: str = "", update: bytes | None = None, password: bytes | None = None, owner: bytes = b"owner", cipher: str = "rc4", script: bytes | None = None) -> bytes:
+    """Catalog, pages, page, content stream, information, link; with update, a second version that redefines the stream.
+
+    With a password, strings and streams are encrypted with 128 bits by RC4 or, with
+    cipher "aes", by AES. A script becomes object 7, which the catalog opens.
+    """
+    lock = _Lock(payload, password, owner, cipher)
+    bodies = _bodies(lock, uri, title, 7 if script is not None else None)
+    bodies[3] = _stream(payload, chain, lock.of(4))
+    if script is not None:
+        bodies.append(_stream(script, ["FlateDecode"], lock.of(7)))
+    if lock.on:
+        bodies.append(lock.entry)
+    more = lock.trailer(len(bodies))
     out = bytearray(b"%PDF-1.4\n%\xe2\xe3\xcf\xd3\n")
     places = []
     for i, body in enumerate(bodies, 1):
@@ -50,7 +83,29 @@ def build(payload: bytes, *, chain: list[str], uri: str, title: str = "", update
     out += f"trailer\n<< /Size {len(bodies) + 1} /Root 1 0 R /Info 5 0 R{more} >>\nstartxref\n{table}\n%%EOF\n".encode()
     if update is not None:
         place = len(out)
-        out += b"4 0 obj\n" + _stream(update, ["FlateDecode"], hidden(4)) + b"\nendobj\n"
+        out += b"4 0 obj\n" + _stream(update, ["FlateDecode"], lock.of(4)) + b"\nendobj\n"
         second = len(out)
         out += f"xref\n4 1\n{place:010d} 00000 n \ntrailer\n<< /Size {len(bodies) + 1} /Root 1 0 R /Info 5 0 R /Prev {table}{more} >>\nstartxref\n{second}\n%%EOF\n".encode()
     return bytes(out)
+
+
+def build_compressed(payload: bytes, *, chain: list[str], uri: str, title: str = "") -> bytes:
+    """The same document, all but the content stream in an object stream (8), with a cross-reference stream (9) in two ranges."""
+    lock = _Lock(payload, None, b"", "rc4")
+    bodies = _bodies(lock, uri, title, None)
+    inside = [1, 2, 3, 5, 6]
+    head, body = [], b""
+    for number in inside:
+        head.append(f"{number} {len(body)}")
+        body += bodies[number - 1] + b" "
+    first = " ".join(head).encode() + b" "
+    out = bytearray(_HEAD)
+    places = {}
+    for number, data in ((4, _stream(payload, chain)), (8, _stream(first + body, ["FlateDecode"], more=f"/Type /ObjStm /N {len(inside)} /First {len(first)} "))):
+        places[number] = len(out)
+        out += f"{number} 0 obj\n".encode() + data + b"\nendobj\n"
+    places[9] = len(out)
+    rows = b"".join(b"\x00" + bytes(4) + b"\xff\xff" if n == 0 else b"\x01" + places[n].to_bytes(4, "big") + b"\x00\x00" if n in places else b"\x02" + (8).to_bytes(4, "big") + inside.index(n).to_bytes(2, "big") for n in [*range(7), 8, 9])
+    out += b"9 0 obj\n" + _stream(rows, ["FlateDecode"], more="/Type /XRef /Size 10 /W [ 1 4 2 ] /Index [ 0 7 8 2 ] /Root 1 0 R /Info 5 0 R ") + b"\nendobj\n"
+    out += f"startxref\n{places[9]}\n%%EOF\n".encode()
+    return bytes(out)
