@@ -115,7 +115,7 @@ SQL = {
     """,
     "op8_line_dedup": r"""
         WITH docs AS (
-          SELECT doc_id, text, md5(coalesce(text, '')) AS digest,
+          SELECT doc_id, text, left(md5(coalesce(text, '')), 15) AS digest,
                  string_split(regexp_replace(replace(coalesce(text, ''), chr(31), chr(31) || '0'), '(\n|[.!?] +)', '\1' || chr(31) || '1', 'g'), chr(31) || '1') AS l FROM documents
         ), w AS (
           SELECT doc_id, digest, unnest(range(0, len(l) - 2)) AS p, l FROM (SELECT DISTINCT doc_id, digest, l FROM docs) WHERE len(l) >= 3

@@ -394,12 +394,15 @@ def classify(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id
 def score_rows(docs: DataFrame, model: Voter | None, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(row struct, score, predicted, evidence): a row per row of docs, its columns (or those in keep) as they were, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(as_row(docs.select(*keep) if keep else docs).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    # the text is taken out of the row where it is in it, so that it goes to Python once
+    inside = keep is None and docs.schema[text_col].dataType == T.StringType()
+    rows = docs.select(as_row(docs.select(*keep) if keep else docs).alias("row"), *([] if inside else [F.col(f"`{text_col}`").cast("string").alias("text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voter = shared.value
         for batch in batches:
-            found = voter.score(raw(batch, "text")) if voter else [(0.0, [])] * batch.num_rows
+            texts = batch.column(0).field(text_col).cast(pa.binary()).to_pylist() if inside else raw(batch, "text")
+            found = voter.score(texts) if voter else [(0.0, [])] * batch.num_rows
             scores = [s for s, _ in found]
             evidence = [" ".join(f"{i}:{c:.4f}" for i, c in e) for _, e in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, pa.string())], ["row", "score", "predicted", "evidence"])

@@ -70,57 +70,136 @@ def test_discriminant_is_the_gaussian_difference():
 # ---- toxicity
 
 
-def brute_nearest(vectors, idf, query, k):
-    def unit(v):
-        w = {t: (1 + math.log(c)) * idf[t] for t, c in v.items() if t in idf}
-        n = math.sqrt(sum(x * x for x in w.values()))
-        return {t: x / n for t, x in w.items()} if n else {}
-
-    q = unit(query)
-    scores = [(sum(w * q[t] for t, w in unit(v).items() if t in q), i) for i, v in enumerate(vectors)]
-    return sorted(((i, s) for s, i in scores if s > 0), key=lambda x: (-x[1], x[0]))[:k]
+def term_counts(text):
+    """Words and six-byte beginnings of a text, by plain code."""
+    signs = bytes(c for c in range(128) if not chr(c).isalnum())
+    words = Counter(bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()).translate(bytes(32 if c in signs else c for c in range(256))).split())
+    return words + Counter(b"^" + w[:6] for w in words if len(w) > 6)
+
+
+def brute_toxicity(rows, labels):
+    """(score, neighbours) of each text: every count, weight and cosine taken anew, every example compared."""
+    known = {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            known[i] = max(y, known.get(i, 0))
+    train, seen = [], set()
+    for i, t in sorted((r for r in rows if r[0] in known and zlib.crc32(str(r[0]).encode()) % 4 != 2), key=lambda r: r[0]):
+        if (known[i], t) not in seen:
+            seen.add((known[i], t))
+            train.append((i, t, known[i]))
+    terms = {k: term_counts(t) for k, (_, t) in enumerate(rows)}
+    df = Counter(x for c in terms.values() for x in c)
+    of_label = [Counter(x for _, t, y in train if y == label for x in term_counts(t)) for label in (0, 1)]
+    n = [sum(y == label for *_, y in train) for label in (0, 1)]
+    vocabulary = {x for _, t, _ in train for x in term_counts(t)}
+    weight = {x: (math.log((1 + len(rows)) / (1 + df[x])) + 1e-6) * (toxicity.FLOOR + (1 - toxicity.FLOOR) * float(toxicity.association(of_label[1][x], of_label[0][x], n[1], n[0]))) for x in vocabulary}
+
+    def unit(counts):
+        w = {x: (1 + math.log(c)) * weight[x] for x, c in counts.items() if x in weight}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        return {x: v / norm for x, v in w.items()} if norm else {}
+
+    examples = [(i, y, unit(term_counts(t))) for i, t, y in train]
+    prior = n[1] / sum(n)
+
+    def vote(counts, skip=None):
+        q = unit(counts)
+        near = sorted(((-sum(v * e[x] for x, v in q.items() if x in e), i, y) for i, y, e in examples if i != skip))
+        near = [(i, y, -s) for s, i, y in near if s < 0][: toxicity.NEIGHBOURS]
+        votes = [sum(1 / (1 - min(s, 1) + toxicity.SOFTEN) for _, y, s in near if y == label) for label in (0, 1)]
+        return math.log((votes[1] + toxicity.PRIOR * prior) / (votes[0] + toxicity.PRIOR * (1 - prior))), [(i, s) for i, _, s in near]
+
+    odds = np.array([vote(term_counts(t), i)[0] for i, t, _ in train])
+    y = np.array([y for *_, y in train])
+    loss = lambda b: (np.logaddexp(0, odds * b[0] + b[1]) - y * (odds * b[0] + b[1])).sum() + 0.05 * ((b[0] - 1) ** 2 + b[1] ** 2)
+    b = np.array([1.0, 0.0])
+    for size in (1.0, 0.1, 0.01, 0.001, 0.0001):  # a search by steps: the loss is convex
+        moved = True
+        while moved:
+            moved = False
+            for step in ((size, 0), (-size, 0), (0, size), (0, -size), (size, size), (-size, -size), (size, -size), (-size, size)):
+                if loss(b + step) < loss(b) - 1e-12:
+                    b, moved = b + step, True
+    return [(1 / (1 + math.exp(-(b[0] * o + b[1]))), near) for o, near in (vote(terms[k]) for k in range(len(rows)))]
 
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(5)
-    names = [f"t{i}".encode() for i in range(60)]
-    draw = lambda: {names[int(i)]: int(rng.integers(1, 5)) for i in np.minimum(rng.exponential(9, rng.integers(0, 12)), 59)}
-    vectors = [draw() for _ in range(700)]
+    pick = lambda: (ids := np.unique(np.minimum(rng.exponential(9, rng.integers(0, 12)), 59).astype(int)), rng.integers(1, 5, len(ids)))
+    vectors = [pick() for _ in range(700)]
     vectors += vectors[:30]  # ties
-    idf = {t: float(rng.random() + 0.1) for t in names}
-    index = toxicity.BlockMaxIndex(vectors, idf, block=16)
-    for _ in range(60):
-        q = draw()
-        got, want = index.nearest(q, 10), brute_nearest(vectors, idf, q, 10)
-        assert [s for _, s in got] == pytest.approx([s for _, s in want])
-        assert {i for i, s in got if s > want[-1][1] + 1e-9} == {i for i, s in want if s > want[-1][1] + 1e-9}
-
-
-def test_toxicity_on_held_out_labels(spark):
+    weight = rng.random(60) + 0.1
+    for common in (0.0, 0.05, 1.0):
+        index = toxicity.BlockMaxIndex(vectors, weight, block=16, common=common)
+        full = np.zeros((len(vectors), 60))
+        for i, (t, c) in enumerate(vectors):
+            full[i, t] = index.weigh(t, c)
+        queries = [pick() for _ in range(60)]
+        skip = rng.integers(0, 700, 60).tolist()
+        for without in (None, skip):
+            for k, (q, (who, got)) in enumerate(zip(queries, index.nearest(queries, 10, without), strict=True)):
+                vector = np.zeros(60)
+                vector[q[0]] = index.weigh(*q)
+                cosine = full @ vector
+                if without:
+                    cosine[without[k]] = 0
+                want = np.sort(cosine[cosine > 1e-9])[::-1][:10]
+                assert got == pytest.approx(want, abs=1e-5) and cosine[who] == pytest.approx(got, abs=1e-5)
+    assert toxicity.BlockMaxIndex([], weight).nearest([pick()], 3)[0][0].size == 0
+
+
+def toxic_corpus():
     rng = np.random.default_rng(6)
-    common, bad = [f"word{i}" for i in range(300)], ["moron", "scum", *[f"vlax{e}" for e in ("a", "o", "en", "ig", "er", "um")]]
+    common, bad = [f"word{i}" for i in range(300)], ["moron", "scum", *[f"vlaxor{e}" for e in ("a", "o", "en", "ig", "er", "um")]]
     texts, toxic = [], []
-    for i in range(900):
+    for i in range(600):
         words = list(rng.choice(common, 60))
         y = int(i % 6 == 0)
         for w in rng.choice(bad, 3 * y):
             words[rng.integers(0, 60)] = w
         texts.append(" ".join(words))
         toxic.append(y)
-    texts += [None, "", "vlaxum moron SCUM!", texts[0]]
-    docs = frame(spark, texts).withColumn("score", F.lit("clash")).withColumn("h1", F.lit(1))
-    labels = spark.createDataFrame([(i, y) for i, y in enumerate(toxic)] + [(None, 1), (3, None)], "doc_id long, toxic int")
-    rows = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    return [*texts, None, "", "vlaxorum moron SCUM!", texts[0], "moron " * 60_000], toxic
+
+
+def test_toxicity_against_brute_force(spark):
+    texts, toxic = toxic_corpus()
+    docs = frame(spark, texts).withColumn("score", F.lit("clash")).withColumn("h1", F.lit(1)).withColumn("terms", F.lit(2)).withColumn("row", F.lit(3)).repartition(3)
+    labels = [(i, y) for i, y in enumerate(toxic)] + [(None, 1), (3, None), (6, 0)]
+    rows = {r.doc_id: r for r in toxicity.classify(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert len(rows) == len(texts)
-    held_out = [i for i in range(900) if zlib.crc32(str(i).encode()) % 4 == 2]
+    held_out = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert all(rows[i].held_out for i in held_out)
+    for i, (score, near) in enumerate(brute_toxicity(list(enumerate(texts)), labels)):
+        assert rows[i].score == pytest.approx(score, abs=5e-3), i
+        said = [x.split(":") for x in rows[i].evidence.split()]
+        assert [float(c) for _, c in said] == pytest.approx([c for _, c in near], abs=2e-4)
+        if near:  # all that are surely among the nearest
+            assert {int(x) for x, _ in said} >= {x for x, c in near if c > near[-1][1] + 1e-4}
     assert np.mean([rows[i].predicted for i in held_out if toxic[i]]) > 0.9
     assert np.mean([rows[i].predicted for i in held_out if not toxic[i]]) < 0.03
-    assert rows[902].predicted == 1 and rows[902].evidence and rows[900].predicted == rows[901].predicted == 0 and not rows[901].evidence
+    assert rows[602].predicted == rows[604].predicted == 1 and rows[600].predicted == rows[601].predicted == 0 and not rows[601].evidence
+
+
+def test_toxicity_without_labels_or_rows(spark):
+    texts, toxic = toxic_corpus()
+    docs = frame(spark, texts[:200], [*range(190), *[None] * 5, *[7] * 5])
+    labels = spark.createDataFrame(list(enumerate(toxic[:200])), "doc_id long, toxic int")
+    assert toxicity.classify(docs, labels).count() == 200
     assert {r.score for r in toxicity.classify(docs, labels.where("toxic = 0")).collect()} == {0.0}
     assert toxicity.classify(docs.where("false"), labels).count() == 0
 
 
+def test_toxicity_on_supplied_held_out_labels(spark):
+    d = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in catalog.op3_toxicity(spark, d).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows.values())
+    clean = [r.predicted for i, r in rows.items() if r.held_out and labels.get(i) == 0]
+    assert sum(clean) <= 0.05 * len(clean) and sum(not r.evidence for r in rows.values()) <= 0.02 * len(rows)
+
+
 # ---- embeddings
 
 

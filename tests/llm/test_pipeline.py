@@ -10,8 +10,9 @@ import numpy as np
 import corpus_pipeline
 from docquarry.llm import toxicity
 from docquarry.llm.tokens import Encoder, vocabulary_file
-from test_models import brute_nearest
-from test_text_operators import groups_brute, lines_brute, simhash_brute, targets_brute
+from pyspark.sql import functions as F
+from test_models import brute_toxicity
+from test_text_operators import kept_brute, lines_brute, targets_brute
 
 
 def corpus(spark, folder):
@@ -38,28 +39,16 @@ def corpus(spark, folder):
     return rows
 
 
-def vote(model, vectors, text):
-    hits = toxicity.terms((text or "").encode(), model.vocabulary)
-    votes, total = toxicity.PRIOR * model.prior, toxicity.PRIOR
-    for i, cosine in brute_nearest(vectors, model.index.idf, hits, toxicity.NEIGHBOURS) if hits else ():
-        w = model.rates[model.labels[i]] / (1 - min(cosine, 1.0) + toxicity.SOFTEN)
-        votes, total = votes + w * model.labels[i], total + w
-    return votes / total
-
-
 def test_run_against_brute_force(spark, tmp_path):
     folder = f"file://{tmp_path}"
     rows = corpus(spark, folder)
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    texts = {r[0]: r[1] for r in rows}
-    vectors = [toxicity.terms((texts[i] or "").encode(), model.vocabulary) for i in model.ids]
-    kept = [r for r in rows if vote(model, vectors, r[1]) < toxicity.THRESHOLD]
+    scored = brute_toxicity([(r[0], r[1]) for r in rows], [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()])
+    assert all(abs(s - toxicity.THRESHOLD) > 0.01 for s, _ in scored)  # none is close to the threshold
+    kept = [r for r, (s, _) in zip(rows, scored, strict=True) if s < toxicity.THRESHOLD]
     assert 0.7 * len(rows) < len(kept) < len(rows)
-    clean = {i: t for i, (_, t) in lines_brute([(r[0], r[1]) for r in kept]).items()}
-    order = [r[0] for r in kept]
-    component = groups_brute([simhash_brute(clean[i]) for i in order], 4)
-    alive = [r for k, r in enumerate(kept) if component[k] == k]
+    clean = {kept[k][0]: t for k, (_, t) in lines_brute([(r[0], r[1]) for r in kept]).items()}
+    stay = kept_brute([(r[0], clean[r[0]]) for r in kept])
+    alive = [r for k, r in enumerate(kept) if k in stay]
     assert len(alive) < len(kept)
     names = sorted({r[3] for r in alive}, key=lambda s: (s is None, s or ""))
     size = lambda r: len((clean[r[0]] or "").split())
@@ -86,3 +75,41 @@ def test_run_against_brute_force(spark, tmp_path):
         places.sort()
         assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 1024
     assert len(bins) <= 1.1 * sum(r.length for r in found) / 1024 + 1
+
+
+NAMES = (
+    "row score predicted evidence terms counts y h1 h2 segment part scored_text_ at h f l first lines removed removed_lines n_lines digest gone_id gone_digest starts starts_ gone_id_ "
+    "f0 f1 node of least root key kind chunk kept_id kept_digest kept_id_ rate rate_ s_ t_ salt_ draw_ spread_ copies copies_ copy_ target source_size piece start length local rank before"
+).split()
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Every name that a stage uses inside is a column of the caller's; ids repeat and are missing; so does text."""
+    folder = f"file://{tmp_path}"
+    rows = corpus(spark, folder)
+    base = [(None if r[0] % 13 == 0 else r[0] % 120, r[1], r[2], r[3], r[4]) for r in rows] + [(None, None, None, None, None), (5, "", "en", None, 0), (6, "word " * 60_000, "en", "a", 300_000)]
+    docs = spark.createDataFrame(base, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in NAMES:
+        docs = docs.withColumn(name, F.lit("mine"))
+    docs = docs.withColumn("a.b", F.lit("mine")).repartition(3)
+    before, columns = docs, docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, folder)
+        assert after.columns == columns, name
+        path = f"{folder}/{name.replace(' ', '-')}"
+        after.write.parquet(path)
+        before = spark.read.parquet(path)
+        found = before.collect()
+        assert found and all(r["row"] == r["a.b"] == r["evidence"] == r["root"] == "mine" for r in found)
+        if name != "mixing":  # nothing is there that was not, and texts without copies stay
+            assert len(found) <= len(base)
+    packed = corpus_pipeline.STAGES[-1][1](spark, before, folder)
+    assert packed.count() >= 1
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    corpus(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0, name

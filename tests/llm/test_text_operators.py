@@ -77,47 +77,78 @@ def test_exact_dedup_of_an_empty_table(spark):
 # ---- line dedup
 
 
-def lines_brute(rows, width=3):
+def lines_brute(rows, width=3, sentences=True):
+    """Row number to (removed lines, text), by walking all rows in order."""
+    cut = re.compile(r"(\n|[.!?] +)" if sentences else r"(\n)")
     seen, out = {}, {}
-    for i, t in sorted(rows, key=lambda r: r[0]):
-        lines = (t or "").split("\n")
+    digest = lambda t: hashlib.md5((t or "").encode()).digest()
+    place = lambda r: (r[0] is None, r[0] or 0, digest(r[1]))
+    for k in sorted(range(len(rows)), key=lambda k: place(rows[k])):
+        parts = cut.split(rows[k][1] or "")
+        lines = [x + y for x, y in zip(parts[::2], [*parts[1::2], ""], strict=True)]
         gone = set()
         for p in range(len(lines) - width + 1):
-            window = tuple(lines[p : p + width])
-            if seen.setdefault(window, (i, p)) != (i, p):
+            window = tuple(x.strip(" \n") for x in lines[p : p + width])
+            here = (place(rows[k]), p)
+            if seen.setdefault(window, here) != here:
                 gone |= set(range(p, p + width))
-        out[i] = (sorted(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t)
+        out[k] = (sorted(gone), "".join(x for n, x in enumerate(lines) if n not in gone) if gone else rows[k][1])
     return out
 
 
-def test_line_dedup(spark):
-    block = "one\ntwo\nthree"
-    texts = [f"a\n{block}\nb", block, f"{block}\n{block}", "one\ntwo", "x\n" * 9, None, "", f"c\n{block}\nfour", "two\nthree\nb", LONG, f"q\n{LONG}\nr", "\n\n\n\n"]
-    docs = documents(spark, texts).withColumn("at", F.lit(5)).withColumn("h", F.lit("x")).withColumn("starts_kept", F.lit(1)).repartition(3)
-    found = {r.doc_id: (r.removed_lines, r.text) for r in line_dedup.line_dedup(docs).collect()}
-    want = lines_brute(list(enumerate(texts)))
-    assert {i: (list(a), b) for i, (a, b) in found.items()} == want
-    assert line_dedup.line_dedup(docs).columns == [*docs.columns, "n_lines", "removed_lines"]
+BLOCK = "one\ntwo\nthree"
+LINES = [f"a\n{BLOCK}\nb", BLOCK, f"{BLOCK}\n{BLOCK}", "one\ntwo", "x\n" * 9, None, "", f"c\n{BLOCK}\nfour", "two\nthree\nb", LONG, f"q\n{LONG}\nr", "\n\n\n\n", "A b. C d! E f? G", "before A b.  C d! E f? after", "H. A b. C d! E f? I", "\x1f1 a\x1f\n\x1f0\nz", "\x1f1 a\x1f\n\x1f0\nz\ny\x1f\nx"]
+
+
+@pytest.mark.parametrize("sentences", [True, False])
+def test_line_dedup(spark, sentences):
+    docs = documents(spark, LINES)
+    for name in ("at", "h", "f", "first", "row", "lines", "removed", "removed_lines", "n_lines", "digest", "gone_id", "starts"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    docs = docs.repartition(3)
+    found = {r.row.doc_id: r for r in line_dedup.line_dedup(docs, sentences=sentences).collect()}
+    want = lines_brute(list(enumerate(LINES)), sentences=sentences)
+    assert {i: (list(r.removed_lines), r.text) for i, r in found.items()} == want
+    assert all(r.row.removed_lines == r.row.lines == r.row.h == "mine" for r in found.values())
     assert line_dedup.line_dedup(docs.where("false")).count() == 0
 
 
 def test_line_dedup_with_shared_and_missing_ids(spark):
-    docs = documents(spark, ["a\nb\nc"] * 4, ids=[1, 1, None, 2])
-    found = sorted((str(r.doc_id), r.text) for r in line_dedup.line_dedup(docs).collect())
-    assert found == [("1", "a\nb\nc"), ("1", "a\nb\nc"), ("2", ""), ("None", "")]
+    """Nothing is taken from a row for what another row with its id has, or without one."""
+    rows = [(None, "a b c q\nk\nm"), (None, "unique1\nunique2\nunique3\nunique4"), (7, "a\nb\nc"), (7, "k1\nk2\nk3"), (9, "a\nb\nc"), (9, "a\nb\nc"), (None, "a\nb\nc"), (None, "k1\nk2\nk3\nrest"), (1, "p\nq\nr"), (1, "p\nq\nr"), (1, "p\nq\nr\ns")]
+    docs = documents(spark, [t for _, t in rows], ids=[i for i, _ in rows]).repartition(3)
+    found = Counter((r.row.doc_id, r.row.text, r.text) for r in line_dedup.line_dedup(docs).collect())
+    want = lines_brute(rows)
+    assert found == Counter((i, t, want[k][1]) for k, (i, t) in enumerate(rows))
+    assert found[(None, rows[1][1], rows[1][1])] == 1 and found[(7, "k1\nk2\nk3", "k1\nk2\nk3")] == 1
+
+
+def test_line_dedup_takes_time_in_proportion(spark):
+    text = "".join(f"line {i}\n" for i in range(60_000))
+    found = line_dedup.line_dedup(documents(spark, [text, text + "end"])).orderBy("row.doc_id").collect()
+    assert len(found[0].text) == len(text) and found[1].text == "end"
 
 
 # ---- SimHash
 
 
-def simhash_brute(text):
+def simhash_brute(text, shingle=4, width=1):
     lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall("[^\\x20\\x09-\\x0D]+", lower)
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    shingles = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
     hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
-    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+    whole = 1 << 64
+    for w in range(1, width):  # further words spread the first hash
+        first, second = int(simhash._SPREAD[w - 1]), int(simhash._SPREAD[w % len(simhash._SPREAD)])
+        for n, h in enumerate(hashes):
+            x = (h & whole - 1) ^ (h & whole - 1) >> 32
+            x = x * first % whole
+            x ^= x >> 29
+            x = x * second % whole
+            hashes[n] = h | (x ^ x >> 32) << 64 * w
+    return sum(1 << b for b in range(64 * width) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
 def groups_brute(values, distance):
@@ -179,7 +210,7 @@ def test_links_of_a_hot_group_lose_nothing(spark, chunk):
     values = sorted(values)
     signed = [v - 2**64 if v >> 63 else v for v in values]
     df = spark.createDataFrame([(v,) for v in signed], "fp long")
-    links = simhash.links(df, chunk_rows=chunk)
+    links = simhash.links(df.select(F.col("fp").alias("node"), F.col("fp").alias("f0")), [[m] for m in simhash.key_masks(len(values))], chunk_rows=chunk)
     assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 4 for r in links.collect())
     roots = {r.node: r.root for r in components.components(links).collect()}
     got = defaultdict(set)
@@ -191,6 +222,55 @@ def test_links_of_a_hot_group_lose_nothing(spark, chunk):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def kept_brute(rows, distance=simhash.SIMILAR_DISTANCE):
+    """Row numbers that stay, comparing all wide fingerprints with all."""
+    values = [simhash_brute(t, 5, simhash.WIDTH) for _, t in rows]
+    place = lambda k: (rows[k][0] is None, rows[k][0] or 0, hashlib.md5((rows[k][1] or "").encode()).digest())
+    groups = defaultdict(list)
+    for k, g in enumerate(groups_brute(values, distance)):
+        groups[g].append(k)
+    return {k for members in groups.values() for k in members if place(k) == min(map(place, members))}
+
+
+def test_near_copies_go(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(900)]
+    texts, pairs = [], []
+    for n in range(130):
+        base = list(rng.choice(words, 220))
+        copy = list(base)
+        for at in rng.choice(220, int(rng.integers(1, 14)), replace=False):
+            copy[at] = "changed"
+        texts += [" ".join(base), " ".join(copy)]
+        pairs.append((2 * n, 2 * n + 1))
+    texts += ["", None, " ", "a b", "A  b", texts[0], LONG, LONG]
+    ids = [*range(len(texts) - 4), None, None, 3, 3]
+    docs = documents(spark, texts, ids=ids)
+    for name in ("f0", "node", "least", "root", "digest", "first", "kept_id", "row", "key", "kind"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    rows = list(zip(ids, texts, strict=True))
+    found = simhash.drop_near_copies(docs.repartition(3))
+    assert found.columns == docs.columns
+    found = found.collect()
+    assert all(r.row == r.f0 == "mine" for r in found)
+    want = Counter(rows[k] for k in kept_brute(rows))
+    got = Counter((r.doc_id, r.text) for r in found)
+    # no text goes but for a link; of those that should go, keys find KEY_RECALL at the least
+    assert not want - got and sum((got - want).values()) <= 0.03 * (len(rows) - sum(want.values()))
+    # what it is for: pairs of similarity 0.8 or more, and none far below
+    similar = {(i, j): jaccard(texts[i], texts[j]) for i, j in pairs}
+    gone = {r for r in range(260)} - {r.doc_id for r in found if r.text is not None}
+    high = [p for p, x in similar.items() if x >= 0.8]
+    assert len(high) > 20 and sum(j in gone for _, j in high) >= 0.85 * len(high)
+    assert not any(j in gone for (_, j), x in similar.items() if x < 0.6)
+    assert simhash.drop_near_copies(docs.where("false")).count() == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 10**13), st.lists(st.integers(0, 63), max_size=4))
 def test_close_pairs_share_a_key(n, flips):
@@ -246,7 +326,9 @@ def test_mix(spark, monkeypatch):
     rng = np.random.default_rng(2)
     texts = [" ".join(["w"] * int(n)) for n in rng.integers(0, 60, 3000)] + [None, "", "a\tb\nc d"]
     sources = [["b", "a", "é", None, "B"][min(4, int(x))] for x in rng.exponential(1, len(texts))]
-    docs = documents(spark, texts, sources).withColumn("size", F.lit(0)).withColumn("rate", F.lit("x")).withColumn("copies_kept", F.lit(1))
+    docs = documents(spark, texts, sources)
+    for name in ("size", "rate", "rate_", "s_", "t_", "salt_", "draw_", "spread_", "copies", "copy_", "row", "target", "source_size"):
+        docs = docs.withColumn(name, F.lit("mine"))
     found = mixing.mix_copies(docs).collect()
     assert len(found) == len(texts) and all(0 <= r.copies <= 3 and r.taken <= 3 * r.size for r in found)
     sizes, taken, target = Counter(), Counter(), {}
@@ -263,6 +345,7 @@ def test_mix(spark, monkeypatch):
     assert emitted.columns == docs.columns
     counts = Counter(r.doc_id for r in emitted.collect())
     assert counts == Counter({r.doc_id: r.copies for r in found if r.copies})
+    assert all(r.rate_ == r.s_ == r.row == "mine" for r in emitted.limit(5).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     assert Counter(r.doc_id for r in mixing.mix(docs).collect()) == counts
     assert sorted(map(str, mixing.mix_copies(docs).collect())) == sorted(map(str, found))
@@ -281,10 +364,10 @@ def test_groups_that_go_on_in_the_next_batch(rows, batch_rows, chunk_rows):
     import pyarrow as pa
 
     rows = sorted((k, v * 0x0101010101010101 % 2**63) for k, v in rows)
-    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), pa.array([v for _, v in part], pa.int64())], ["key", "fp"]) for i in range(0, len(rows), batch_rows) if (part := rows[i : i + batch_rows])]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), *[pa.array([v for _, v in part], pa.int64())] * 2], ["key", "node", "f0"]) for i in range(0, len(rows), batch_rows) if (part := rows[i : i + batch_rows])]
     links, chunks = set(), defaultdict(lambda: defaultdict(list))
     for out in simhash._linker(4, chunk_rows)(iter(batches)):
-        for kind, key, chunk, a, b in zip(*(c.to_pylist() for c in out.columns), strict=True):
+        for kind, key, chunk, a, b, _ in zip(*(c.to_pylist() for c in out.columns), strict=True):
             if kind:
                 chunks[key][chunk].append(a)
             else:
