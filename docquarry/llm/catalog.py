@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from docquarry import scratch
 from docquarry.llm import exact_dedup, hnsw, line_dedup, lm, mixing, packing, quality, simhash, token_files, toxicity
 from docquarry.llm.tokens import vocabulary_file
+from docquarry.session import spread
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_copies(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_copies(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,14 +150,15 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     the smallest id stays (null ids last). Null and empty texts are one text.
     Rows that repeat the smallest id all count in group_size; each is kept, as
     the id is what names a row. A group of null ids only keeps a null keep_id
-    and its rows. No row is dropped, other columns of docs are not looked at.
+    and its rows. No row is dropped, other columns of docs, of any name, are not
+    looked at. Texts of any length are compared whole. An empty table gives no rows.
 
     Hot groups: fingerprints are counted inside each partition, copies are
     reduced to one text per partition before any shuffle, and only slim rows
     (id, digests) join on a group's key.
     """
-    text = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
+    text = normalised(F.col(f"`{text_col}`").cast("string"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("t"))
     slim = scratch.keep(rows.select("doc_id", F.xxhash64("t").alias("fp"), F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha")), "digests")
     repeated = scratch.keep(repeated_fingerprints(slim).select("fp"), "repeated")
     # bytes are compared here: the text itself is the key, reduced to one row per partition first

@@ -23,6 +23,8 @@ SHARD = 8192
 M, BEAM_BUILD = 12, 40
 #: First beam of a search, queries of an audit, and the recall that it must find.
 BEAM, AUDIT, RECALL = 48, 48, 0.99
+#: Shards of a tile at most: a task compares two tiles.
+TILE = 8
 _BATCH = 256
 
 
@@ -184,15 +186,28 @@ class Graph:
         return self._search_layer(queries, at, 0, beam)
 
 
+def _beside(x: np.ndarray, cosine: float) -> np.ndarray:
+    """Unit vectors that link with some of x: those, turned at random by three quarters of what a link allows."""
+    some = x[np.unique(np.linspace(0, len(x) - 1, min(AUDIT, len(x))).astype(int))] if len(x) else x
+    aside = np.random.default_rng(len(x)).normal(size=some.shape)
+    aside -= (aside * some).sum(axis=1, keepdims=True) * some
+    length = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
+    near = cosine + (1 - cosine) / 4
+    return np.where(length > 1e-9, near * some + np.sqrt(max(0.0, 1 - near * near)) * aside / np.maximum(length, 1e-9), some)
+
+
 def close_to(graph: Graph, queries: np.ndarray, cosine: float = COSINE, recall: float = RECALL) -> np.ndarray:
     """Boolean (query, node): cosine reached, as found through the graph.
 
     A query whose whole beam passes is searched again with a wider one, at the end
-    with the whole shard. Then an audit compares some queries with exact search;
-    below the wanted recall all are searched again with a doubled beam.
+    with the whole shard. Then an audit compares some queries with exact search, and
+    some made for it: nodes moved by as much as still links, so that there are true
+    pairs to miss however few the queries have. Below the wanted recall all are
+    searched again with a doubled beam.
     """
-    n = len(graph.x)
-    audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)) if len(queries) else np.zeros(0, int)
+    n, asked = len(graph.x), len(queries)
+    queries = np.concatenate((queries, _beside(graph.x, cosine)))
+    audit = np.concatenate((np.unique(np.linspace(0, asked - 1, min(AUDIT, asked)).astype(int)) if asked else np.zeros(0, int), np.arange(asked, len(queries))))
     truth = queries[audit] @ graph.x.T >= cosine
     beam = BEAM
     while True:
@@ -211,9 +226,8 @@ def close_to(graph: Graph, queries: np.ndarray, cosine: float = COSINE, recall:
                 out[mine[r], ids[r, c]] = True
                 again.append(mine[hit.all(axis=1)])
             left, width = (np.concatenate(again) if again else np.zeros(0, int)), width * 4
-        want = truth.sum()
-        if not want or (out[audit] & truth).sum() >= recall * want or beam * 4 >= n:
-            return out
+        if (out[audit] & truth).sum() >= recall * truth.sum() or beam * 4 >= n:
+            return out[:asked]
         beam *= 2
 
 
@@ -257,30 +271,41 @@ def _build(group: pd.DataFrame) -> pd.DataFrame:
 _SHARD = "label {label}, shard int, ids binary, weights binary, vectors binary, layers array<binary>, entry int, top int"
 
 
-def _restore(row, suffix: str) -> tuple[np.ndarray, np.ndarray, Graph]:
-    ids, weights = np.frombuffer(row["ids" + suffix], np.int64), np.frombuffer(row["weights" + suffix], np.int64)
-    x = np.frombuffer(row["vectors" + suffix], np.float64).reshape(len(ids), -1)
-    layers = [np.frombuffer(t, np.int32).reshape(len(ids), -1) for t in row["layers" + suffix]]
-    return ids, weights, Graph.restore(x, layers, int(row["entry" + suffix]), int(row["top" + suffix]))
+def _restore(row) -> tuple[np.ndarray, np.ndarray, Graph]:
+    ids, weights = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["weights"], np.int64)
+    x = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
+    layers = [np.frombuffer(t, np.int32).reshape(len(ids), -1) for t in row["layers"]]
+    return ids, weights, Graph.restore(x, layers, int(row["entry"]), int(row["top"]))
+
+
+def _sums(close: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per row, the weights of the columns that are set."""
+    rows, columns = np.nonzero(close)
+    return np.bincount(rows, weights[columns], len(close)).astype(np.int64)
 
 
 def _match(cosine: float):
+    """Over the shards of two tiles: every pair of a shard of the first with one of the second, or within one tile each pair once."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         frames = []
-        for _, row in group.iterrows():
-            ids, weights, graph = _restore(row, "")
-            if row["shard"] == row["shard_b"]:
+        shards = {int(r["shard"]): _restore(r) for _, r in group.iterrows()}
+        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        of_tile = {t: sorted(int(r["shard"]) for _, r in group.iterrows() if r["tile"] == t) for t in (i, j)}
+        for left, right in [(a, b) for a in of_tile[i] for b in of_tile[j] if i != j or a <= b]:
+            ids, weights, graph = shards[left]
+            if left == right:
                 close = close_to(graph, graph.x, cosine)
                 close |= close.T
                 np.fill_diagonal(close, True)
-                n = close @ weights - 1  # all others, its own copies included
+                n = _sums(close, weights) - 1  # all others, its own copies included
                 a, b = _spanning(close, ids, ids)
                 frames.append(pd.DataFrame({"kind": 0, "a": ids, "b": n}))
             else:
-                other, their, second = _restore(row, "_b")
+                other, their, second = shards[right]
                 close = close_to(second, graph.x, cosine) | close_to(graph, second.x, cosine).T
                 a, b = _spanning(close, ids, other)
-                frames.append(pd.DataFrame({"kind": 0, "a": np.concatenate((ids, other)), "b": np.concatenate((close @ their, close.T @ weights))}))
+                frames.append(pd.DataFrame({"kind": 0, "a": np.concatenate((ids, other)), "b": np.concatenate((_sums(close, their), _sums(close.T, weights)))}))
             frames.append(pd.DataFrame({"kind": 1, "a": np.array(a, np.int64), "b": np.array(b, np.int64)}))
         return pd.concat(frames)
 
@@ -296,12 +321,13 @@ def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     Vectors of different length do not link. Rows that repeat an id, with vectors
     that differ, are one name: their links are summed and their components joined.
     Links are symmetric. Recall against exact search is audited in every search
-    and at least RECALL there.
+    and at least RECALL there. An empty table gives no rows; other columns, of any
+    name, are not looked at.
     """
-    v = F.col(vector_col).cast("array<double>")
+    v = F.col(f"`{vector_col}`").cast("array<double>")
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("v").isNotNull()
     usable &= ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf")))) & F.exists("v", lambda e: e != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").alias("label"), v.alias("v"))
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
     # lengths differ: a part of the label
     good = rows.where("usable").withColumn("label", F.struct("label", F.size("v").alias("d")).cast("struct<label:string,d:int>")).withColumn("label", F.concat_ws("/", F.col("label.d").cast("string"), F.col("label.label")))
@@ -310,9 +336,12 @@ def embedding_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     shards = classes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("shards"))
     dealt = classes.join(shards, "label").withColumn("shard", F.pmod(F.xxhash64("class_id", "v"), F.col("shards")).cast("int"))
     built = scratch.keep(dealt.select("label", "shard", "class_id", "weight", "v").groupBy("label", "shard").applyInPandas(_build, _SHARD.format(label="string")), "graphs")
-    right = built.select("label", *[F.col(c).alias(c + "_b") for c in built.columns if c != "label"])
-    pairs = built.join(right, "label").where("shard <= shard_b")
-    found = pairs.groupBy("label", "shard", "shard_b").applyInPandas(_match(cosine), "kind int, a long, b long")
+    # a shard goes once to each pair of tiles that its own is in, not to each pair of shards; few shards are tiles of one
+    tile = F.floor(F.col("shard") / F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.col("shards") / TILE)))).cast("int")
+    tiled = built.join(shards, "label").withColumn("tile", tile)
+    last = tiled.groupBy("label").agg(F.max("tile").alias("last"))
+    sent = tiled.join(last, "label").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
+    found = sent.drop("shards", "last", "other").groupBy("label", "i", "j").applyInPandas(_match(cosine), "kind int, a long, b long")
     found = scratch.keep(found, "matches")
     links = components(found.where("kind = 1").select("a", "b"))
     by_class = found.where("kind = 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("b").alias("n_links"))

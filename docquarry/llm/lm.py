@@ -264,6 +264,9 @@ def _distinct(rows: list[tuple], texts: list[bytes]) -> tuple[np.ndarray, np.nda
             v, c = np.unique(codes(joined([t for (_, h), t in zip(rows[g], texts[g], strict=True) if h is held_out]))[0], return_counts=True)
             values.append(v)
             counts.append(c * (not held_out))
+        if len(values) > 6:  # repeats of codes are not held for long
+            v, c = merged(values, counts)
+            values, counts = [v], [c]
     return merged(values, counts)
 
 
@@ -331,7 +334,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", no
     the add-one unigram, score the byte model's, both log10, of the normalised
     text with its end. A null or empty text is an end alone. Rows that repeat are
     learned and scored each for itself. Without training rows the byte model is
-    uniform and train_tokens is 0.
+    uniform and train_tokens is 0. A text of any length is learned from and scored
+    whole, and an empty table gives no rows. Other columns of docs, of any name, are
+    not looked at.
 
     Words travel as 64-bit hashes, once per chunk of text and bucket; a chunk gets
     back the global counts of its own words, so no vocabulary is ever broadcast
@@ -340,8 +345,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", no
     nodes sets into how many such parts the model falls, and no result.
     """
     spark = docs.sparkSession
-    doc_id = F.col(id_col).cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), (id_remainder(doc_id, FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    doc_id = F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), (id_remainder(doc_id, FOLDS) == HELD_OUT).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     bits = max(3, (size // BUCKET).bit_length())
     made = rows.mapInArrow(_tokens(bits), "kind int, chunk long, bucket int, doc_id long, held_out boolean, text binary, a binary, b binary")
@@ -354,7 +359,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", no
     low = merged([np.frombuffer(r["v"], "<u8") for r in low] or [np.zeros(0, np.uint64)], [np.frombuffer(r["c"], "<i8") for r in low] or [np.zeros(0, np.int64)])
     low = spark.sparkContext.broadcast(shortened(*low, LOW))
     grams = made.where("kind = 2").select("chunk", "bucket", "a", "b")
-    wide = min(16, max(2, (size // (8 * nodes)).bit_length()))
+    wide = min(16, max(5, (size // (8 * nodes)).bit_length()))
     grams = scratch.keep(grams.groupBy("bucket").applyInPandas(_merge_grams(wide), "kind int, chunk long, bucket int, a binary, b binary"), "grams", compression="zstd", partition_by="kind")
     for kind in (1, 2, 3):  # read for the last time
         scratch.drop(f"{made._docquarry_path}/kind={kind}", spark)

@@ -143,15 +143,18 @@ def _cutter(path: str, capacity: int, keep_ids: bool):
 
 def cut(docs: DataFrame, path: str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pieces of at most capacity tokens: doc_id, piece, start, length, ids_crc32, ids (binary, little-endian; null unless kept)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(_cutter(path, capacity, keep_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """The pieces of cut() with sequence_id long and offset long.
 
-    path names a tokenizer file. Null and empty texts are the end id alone. Rows
-    that share an id are packed each for itself. An empty table gives none. The
+    path names a tokenizer file. Null and empty texts are the end id alone; a text
+    of any length is encoded whole. Rows that share an id, or have none, are packed
+    each for itself. An empty table gives none. Other columns of docs, of any name,
+    are not looked at. The counts of parts and lengths that place the pieces grow
+    with the parts, and are joined by a merge. The
     driver gets the number of pieces of each length, which is bounded by the
     capacity, and sends back the plan, which is bounded likewise.
     """
@@ -163,7 +166,7 @@ def pack(docs: DataFrame, path: str, *, capacity: int = CAPACITY, id_col: str =
     placed = spark.sparkContext.broadcast(slots(plan(counts, capacity)))
     before = by_part.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     local = F.row_number().over(W.partitionBy("part", "length").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = pieces.withColumn("local", local).join(before, ["part", "length"]).withColumn("rank", (F.col("local") + F.col("before")).cast("long"))
+    ranked = pieces.withColumn("local", local).join(before.hint("merge"), ["part", "length"]).withColumn("rank", (F.col("local") + F.col("before")).cast("long"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:

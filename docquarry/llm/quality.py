@@ -78,7 +78,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x array<double>) of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(_features, "doc_id long, x array<double>")
 
 
@@ -148,8 +148,8 @@ def fit(train: DataFrame) -> Discriminant | None:
     means = total[:, 1 : 1 + p] / counts[:, None]
     covariances = total[:, 1 + p :].reshape(2, p, p) / counts[:, None, None] - means[:, :, None] * means[:, None, :]
     model = Discriminant(counts, means, covariances)
-    # a share by hash that gives about so many rows; nothing is ranked
-    some = train.where(draw(13, "doc_id") < CALIBRATION_ROWS / counts.sum()).select("x", "y").toPandas()
+    # a share by hash that gives about so many ids, one row of each; nothing is ranked
+    some = train.where(draw(13, "doc_id") < CALIBRATION_ROWS / counts.sum()).groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("r.x", "r.y").toPandas()
     if some["y"].nunique() < 2:
         return model
     model.calibrate(np.array(some["x"].tolist()), some["y"].to_numpy().astype(float))
@@ -163,7 +163,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality",
     null id is in no fold and is not learned from. Null and empty texts, and texts
     without words, have all statistics zero and are scored like any other. An id
     labelled twice counts by its smallest label. If a class has no training rows,
-    every score is 0.5.
+    every score is 0.5. Texts of any length count whole; rows that repeat an id are
+    scored each for itself; an empty table gives no rows; other columns of docs, of
+    any name, are not looked at.
     """
     spark = docs.sparkSession
     rows = scratch.keep(features(docs, id_col=id_col, text_col=text_col), "statistics")

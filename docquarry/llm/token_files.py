@@ -7,8 +7,13 @@ of whole documents (more only for one long document) and reads alone:
     doc ids i64[n_docs] | null flags u8[n_docs] | ends u64[n_docs] | ids, bits each, high bit first, padded to a byte
 
 ends are running counts of ids, so a document is at bits * ends[i-1] of the body.
-Blocks are joined by one line feed. The files of a table are written by Spark's
-own writer, and read by its binary reader, so any store that Spark reaches will do.
+Records end with a line feed. A file's last record is the index of its blocks:
+
+    magic 4s | n_blocks u32 | per block: offset u64, bucket u32, block u32, n_docs u32, n_ids u64 | its own length u32 | magic 4s
+
+so that a reader goes from the end of the file to any block. The files of a table
+are written by Spark's own writer, and read by its binary reader, so any store
+that Spark reaches will do.
 """
 
 from __future__ import annotations
@@ -27,13 +32,15 @@ from pyspark.sql import functions as F
 from docquarry import scratch
 from docquarry.llm.tokens import END_ID, encoder
 
-MAGIC = b"TKB1"
+MAGIC, INDEX = b"TKB1", b"TKBX"
 BLOCK_IDS = 1 << 18
-#: Text bytes for each file, about.
-FILE_BYTES = 24 << 20
+#: Text bytes for each range of ids, about, and ranges at most; a task writes a range, in as many files as it takes.
+RANGE_BYTES, RANGES = 24 << 20, 20_000
+#: Records of a file at most, its index included: some 16 MB of ids.
+RECORDS = 33
 #: Documents that a worker encodes before it hands their ids on.
 SLICE = 256
-_HEAD = struct.Struct("<4sBBIIIQ")
+_HEAD, _ENTRY = struct.Struct("<4sBBIIIQ"), struct.Struct("<QIIIQ")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -94,16 +101,45 @@ class Block:
         return unpack_bits(self.body, self.bits, 0, self.n_ids)
 
 
+def write_index(entries: list[tuple[int, int, int, int, int]]) -> bytes:
+    """The last record of a file, for blocks (offset, bucket, block, n_docs, n_ids)."""
+    body = INDEX + struct.pack("<I", len(entries)) + b"".join(_ENTRY.pack(*e) for e in entries)
+    return body + struct.pack("<I", len(body) + 8) + INDEX
+
+
+def read_index(data: bytes | memoryview) -> list[tuple[int, int, int, int, int]]:
+    """(offset, bucket, block, n_docs, n_ids) of the blocks of a whole file, or of its end if that holds the index."""
+    end = len(data) - 1  # the line feed
+    length, magic = struct.unpack_from("<I4s", data, end - 8)
+    if magic != INDEX:
+        raise ValueError("no index at the end of the file")
+    n = struct.unpack_from("<I", data, end - length + 4)[0]
+    return [_ENTRY.unpack_from(data, end - length + 8 + i * _ENTRY.size) for i in range(n)]
+
+
 def blocks(data: bytes) -> Iterator[Block]:
-    at = 0
-    while at < len(data):
-        block = Block(data, at)
-        yield block
-        at = block.end + 1  # the line feed
+    """All blocks of a file, by its index."""
+    for offset, *_ in read_index(data) if data else ():
+        yield Block(data, offset)
+
 
+class _Ranges:
+    """Which range a row goes to: ranges of ids, an id that fills several dealt over them by a hash of its text, and so null ids, in ranges of their own."""
 
-def _encode(path: str, cuts: np.ndarray):
-    """Ids of each text, and its file: the number of cuts at or below the id; null ids in the last."""
+    def __init__(self, cuts: list[int], without_id: int):
+        self.cuts, self.without_id = np.array(sorted(cuts), np.int64), max(1, without_id)
+        self.n = len(self.cuts) + 1 + self.without_id
+
+    def of(self, doc_id: int | None, spread: int) -> int:
+        u = (spread + (1 << 63)) / 2.0**64
+        if doc_id is None:
+            return len(self.cuts) + 1 + min(int(u * self.without_id), self.without_id - 1)
+        low, high = (int(np.searchsorted(self.cuts, doc_id, side=x)) for x in ("left", "right"))
+        return high if high - low < 2 else low + 1 + min(int(u * (high - low)), high - low - 1)
+
+
+def _encode(path: str, ranges: _Ranges):
+    """Ids of each text, and its range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, END_ID).encode
         for whole in batches:
@@ -111,33 +147,51 @@ def _encode(path: str, cuts: np.ndarray):
                 batch = whole.slice(at, SLICE)
                 wide = [np.frombuffer(encode(t), "<u4") for t in batch.column(1).to_pylist()]
                 slim = [x.astype("<u2").tobytes() if len(x) and x.max() < 1 << 16 else x.tobytes() for x in wide]
-                bucket = [len(cuts) if i is None else int(np.searchsorted(cuts, i, side="right")) for i in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in wide], pa.int64()), pa.array(slim, pa.binary()), pa.array(bucket, pa.int32())], ["doc_id", "n", "ids", "bucket"])
+                bucket = list(map(ranges.of, batch.column(0).to_pylist(), batch.column(2).to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) for x in wide], pa.int64()), pa.array(slim, pa.binary()), pa.array(bucket, pa.int32())], ["doc_id", "spread", "n", "ids", "bucket"])
 
     return run
 
 
-def _packer(bits: int):
+def _packer(bits: int, records: int):
+    """Blocks in order, and after each records - 1 of them, and at the end, the index of those."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, number, names, held, size = None, 0, [], [], 0
+        bucket, number, names, held, size, at = None, 0, [], [], 0, 0
+        entries: list[tuple[int, int, int, int, int]] = []
+
+        def record(data: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["block"])
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([write_block(bucket, number, names, held, bits)], pa.binary())], ["block"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal at, number, size
+            data = write_block(bucket, number, names, held, bits)
+            entries.append((at, bucket, number, len(names), size))
+            at, number, size = at + len(data) + 1, number + 1, 0
             names.clear()
             held.clear()
-            return out
+            yield record(data)
+            if len(entries) == records - 1:
+                yield from close()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal at
+            if entries:
+                yield record(write_index(entries))
+            entries.clear()
+            at = 0
 
         for batch in batches:
             for doc_id, n, ids, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if held and (b != bucket or size + n > BLOCK_IDS):
-                    yield flush()
-                    number, size = number + 1, 0
+                    yield from flush()
                 bucket = b
                 names.append(doc_id)
                 held.append(np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4"))
                 size += n
         if held:
-            yield flush()
+            yield from flush()
+        yield from close()
 
     return run
 
@@ -145,21 +199,26 @@ def _packer(bits: int):
 def write_tokens(docs: DataFrame, path: str, to: str, *, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, the end id after each, and write the files, ids ascending (nulls last), to a new folder.
 
-    Documents are dealt to files by ranges of ids taken from the ids alone, so
-    that texts are encoded once; a file is in order, and so are the files by
-    their number. Null and empty texts are the end id alone; rows that share an id
-    lie side by side, shortest first.
+    Documents are dealt to ranges of ids taken from the ids alone, so that texts
+    are encoded once; a range is in order, and so are the ranges by their number.
+    Null and empty texts are the end id alone; a text of any length is one document.
+    Rows that share an id, or have none, are ordered by a hash of the text and
+    then shortest first; an id with more rows than a range holds goes to several
+    ranges, and so do null ids. An empty table gives no documents. Other columns of
+    docs, of any name, are not looked at.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    files = max(1, (size["s"] or 0) // FILE_BYTES + 1)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 20 * files).alias("c")).first()["c"] if files > 1 else []
-    cuts = np.array(sorted(set(cuts or [])), np.int64)
-    encoded = rows.mapInArrow(_encode(path, cuts), "doc_id long, n long, ids binary, bucket int")
-    dealt = encoded.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "n", "ids")
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("spread"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("s"), F.sum(F.when(F.col("doc_id").isNull(), F.octet_length("text"))).alias("z")).first()
+    whole, without_id = size["s"] or 0, size["z"] or 0
+    n = min(RANGES, whole // RANGE_BYTES + 1)
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"] if n > 1 else []
+    ranges = _Ranges(cuts or [], int(n * without_id / whole) if whole else 1)
+    encoded = rows.mapInArrow(_encode(path, ranges), "doc_id long, spread long, n long, ids binary, bucket int")
+    dealt = encoded.repartitionById(ranges.n, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "spread", "n", "ids")
     bits = bits_for(encoder(path, END_ID).vocabulary())
-    packed = dealt.mapInArrow(_packer(bits), "block binary")
-    packed.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(to)
+    packed = dealt.select("doc_id", "n", "ids", "bucket").mapInArrow(_packer(bits, RECORDS), "block binary")
+    packed.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", RECORDS).text(to)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

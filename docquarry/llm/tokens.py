@@ -9,6 +9,7 @@ crosses, and pieces met before are looked up; new ones go to the library's merge
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -51,7 +52,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
         self.end = array("I", [end_id]).tobytes()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.drops_white = self.ids("a \n\tb") == self.ids("a") + self.ids("b")
@@ -60,6 +61,7 @@ class Encoder:
         self.split = regex.compile(_WORD_PARTS).findall
         self.merge = self.tokenizer.model.tokenize
         self.core = None if self.drops_white else self._tiktoken()
+        self.plain = self.core is None and not self.drops_white  # neither faster way: the library
 
     def ids(self, text: str) -> list[int]:
         """By the tokenizers library itself."""
@@ -68,9 +70,19 @@ class Encoder:
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def _ranked(self) -> bool:
+        """Whether ids ascend in the order of merges and every byte has one, so that the least id is the next merge."""
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [x if isinstance(x, str) else " ".join(x) for x in model.get("merges", [])]
+        made = [model["vocab"].get(x.replace(" ", "", 1), -1) for x in merges]
+        return len(merges) > 0 and min(made) >= 0 and all(a < b for a, b in zip(made, made[1:], strict=False)) and all(x in model["vocab"] for x in _byte_letters().values())
+
     def _tiktoken(self):
         import tiktoken
 
+        if not self._ranked():
+            return None
         back = {letter: byte for byte, letter in _byte_letters().items()}
         ranks = {bytes(back[c] for c in token): rank for token, rank in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in back for c in token) and token not in self.special}
         return tiktoken.Encoding("file", pat_str=_BYTE_PARTS, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
@@ -78,7 +90,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if any(s in text for s in self.special):  # found across pieces
+        if self.plain or any(s in text for s in self.special):  # found across pieces
             return array("I", self.ids(text)).tobytes() + self.end
         if self.core is not None:
             return array("I", self.core(text)).tobytes() + self.end

@@ -256,6 +256,39 @@ def test_embedding_dedup(spark, shard_rows):
     assert hnsw.embedding_dedup(df.where("false")).count() == 0
 
 
+def test_recall_over_full_shards(spark):
+    """Several shards of thousands, whose graphs are searched: links and components against all comparisons."""
+    rng = np.random.default_rng(10)
+    x = clustered(rng, 5000, 24).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, list(map(float, v)), 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    for name in ("tile", "i", "j", "weights", "shards", "class_id", "usable"):
+        df = df.withColumn(name, F.lit("mine"))
+    found = {r.vec_id: r for r in hnsw.embedding_dedup(df, shard_rows=1700).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.98
+    np.fill_diagonal(close, False)
+    want = close.sum(axis=1)
+    got = np.array([found[i].n_links for i in range(len(x))])
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+    component = np.arange(len(x))
+    while True:
+        least = np.minimum(component, np.where(close, component[None, :], len(x)).min(axis=1))
+        if (least == component).all():
+            break
+        component = least
+    assert np.mean(np.array([found[i].component_id for i in range(len(x))]) == component) >= 0.99
+
+
+def test_audit_is_never_empty():
+    """Queries without any true pair: the audit still has nodes of the graph to find."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    beside = hnsw._beside(x, 0.98)
+    assert len(beside) == hnsw.AUDIT and ((beside @ x.T >= 0.98).sum(axis=1) >= 1).all() and np.allclose(np.linalg.norm(beside, axis=1), 1)
+    assert not hnsw.close_to(hnsw.Graph(x), -x[:50]).any()
+
+
 # ---- language model
 
 

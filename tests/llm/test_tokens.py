@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -108,7 +109,11 @@ def test_bits_come_back(bits, ids, data):
 
 def test_blocks_read_alone_and_in_place():
     docs = [np.array(x, np.uint32) for x in ([1, 2, 3], [], [70000 % (1 << 17)], list(range(50)))]
-    data = token_files.write_block(3, 7, [10, None, 11, 12], docs, 17) + b"\n" + token_files.write_block(3, 8, [13], docs[:1], 17)
+    one, two = token_files.write_block(3, 7, [10, None, 11, 12], docs, 17), token_files.write_block(3, 8, [13], docs[:1], 17)
+    entries = [(0, 3, 7, 4, 54), (len(one) + 1, 3, 8, 1, 3)]
+    data = one + b"\n" + two + b"\n" + token_files.write_index(entries) + b"\n"
+    assert token_files.read_index(data) == token_files.read_index(data[-100:]) == entries
+    assert token_files.Block(data, entries[1][0]).document(0).tolist() == [1, 2, 3]
     first, second = token_files.blocks(data)
     assert [first.document(i).tolist() for i in range(4)] == [d.tolist() for d in docs] and second.document(0).tolist() == [1, 2, 3]
     assert (first.bucket, first.number, first.no_id.tolist(), second.number) == (3, 7, [False, True, False, False], 8)
@@ -116,17 +121,29 @@ def test_blocks_read_alone_and_in_place():
 
 
 def test_files_of_a_table(spark, monkeypatch):
-    monkeypatch.setattr(token_files, "FILE_BYTES", 20_000)
-    texts = [f"words of document {i} " * (i % 37) for i in range(400)] + [None, "", "<|endoftext|>"]
-    docs = spark.createDataFrame([(None if i == 5 else 1000 - i if i < 398 else 7, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA).withColumn("bucket", F.lit("x")).withColumn("n", F.lit(1)).repartition(5)
+    """Small ranges, blocks and files; a third of the rows share an id, others have none."""
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 20_000)
+    monkeypatch.setattr(token_files, "RECORDS", 3)
+    texts = [f"words of document {i} " * (i % 37) for i in range(400)] + [None, "", "<|endoftext|>", "very long " * 5_000]
+    ids = [None if i % 3 == 1 else 500 if i % 3 == 0 else 1000 - i if i < 398 else 7 for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in zip(ids, texts, strict=True)], SCHEMA)
+    for name in ("bucket", "n", "spread", "ids", "block", "start"):
+        docs = docs.withColumn(name, F.lit("x"))
+    docs = docs.repartition(5)
     to = scratch.new_path(spark, "files")
     token_files.write_tokens(docs, WORDS, to)
     rows = token_files.read_digests(spark, to).collect()
     encode = Encoder(WORDS).encode
-    want = sorted(((r.doc_id is None, r.doc_id or 0, len(d := encode(r.text)) // 4, d) for r in docs.collect()))
+    hashed = lambda t: 42 if t is None else (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    want = sorted((r.doc_id is None, r.doc_id or 0, hashed(r.text), len(d := encode(r.text)) // 4, d) for r in docs.collect())
     rows.sort(key=lambda r: r.start)
-    assert [(r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in rows] == [(a, b, c, zlib.crc32(d)) for a, b, c, d in want]
-    assert [r.start for r in rows] == np.cumsum([0, *[c for _, _, c, _ in want[:-1]]]).tolist()
+    assert [(r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in rows] == [(a, b, c, zlib.crc32(d)) for a, b, _, c, d in want]
+    assert [r.start for r in rows] == np.cumsum([0, *[c for _, _, _, c, _ in want[:-1]]]).tolist()
+    # the id of a third of the rows, and null ids, are in several files; any block is reached by a file's index
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(to).where("length > 0").collect()]
+    held = [{(int(i), bool(z)) for b in token_files.blocks(f) for i, z in zip(b.doc_ids, b.no_id, strict=True)} for f in files]
+    assert sum((500, False) in h for h in held) > 1 and sum(any(z for _, z in h) for h in held) > 1
+    assert all(len(token_files.read_index(f)) <= 2 for f in files) and sum(n for f in files for *_, n, _ in token_files.read_index(f)) == len(rows)
     empty = scratch.new_path(spark, "files")
     token_files.write_tokens(docs.where("false"), WORDS, empty)
     assert token_files.read_digests(spark, empty).count() == 0
