@@ -9,7 +9,7 @@ from docquarry import rules
 from docquarry.codecs import escapes, filters
 from docquarry.functions import columns as c
 from docquarry.operators import analysis, graph, scan, stats, versions
-from docquarry.session import table
+from docquarry.session import spread, table
 from docquarry.sources import pdf
 from docquarry.streaming import dropfolder
 
@@ -478,7 +478,7 @@ def xor_key_apply(spark, d):
     SELECT doc_id, CAST(k AS INTEGER) AS xor_key, CAST((instr(h, p) - 1) // 3 AS INTEGER) AS "offset" FROM t, p WHERE instr(h, p) > 0""")
 def xor_search(spark, d):
     """Keys under which 'the' occurs, with the first place."""
-    return scan.xor_search(table(spark, d, "documents"), b"the", key="doc_id", content="text")
+    return scan.xor_search(spread(table(spark, d, "documents")), b"the", key="doc_id", content="text")
 
 
 def _chains():
@@ -489,14 +489,14 @@ def _chains():
 @query("SELECT doc_id, md5(encode(text)) AS h, CAST(NULL AS VARCHAR) AS error FROM documents")
 def chain_roundtrip(spark, d):
     """Encoded and decoded by a chain of filters that follows from the id."""
-    rows = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("t"), _chains().alias("f"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", F.col("text").cast("binary").alias("t"), _chains().alias("f"))
     rows = rows.select("doc_id", filters.encode_chain(F.col("t"), F.col("f")).alias("e"), "f")
     back = rows.select("doc_id", filters.decode_chain(F.col("e"), F.col("f")).alias("r"))
     return back.select("doc_id", F.md5("r.bytes").alias("h"), F.col("r.error").cast("string").alias("error"))
 
 
 def _pdfs(spark, d, password: bytes | None = None, **how) -> DataFrame:
-    return pdf.generated(table(spark, d, "documents"), file_id="doc_id", payload="text", uri=F.concat(F.lit("http://example.org/"), F.col("doc_id").cast("string")), title=F.concat_ws("-", "lang", "source"), password=password, **how)
+    return pdf.generated(spread(table(spark, d, "documents")), file_id="doc_id", payload="text", uri=F.concat(F.lit("http://example.org/"), F.col("doc_id").cast("string")), title=F.concat_ws("-", "lang", "source"), password=password, **how)
 
 
 _FIVE = "doc_id % 5 = 0"
@@ -600,7 +600,7 @@ def pdf_decrypt(spark, d):
 @query(f"SELECT doc_id AS file_id, 0 AS version, md5(encode(text)) AS h FROM documents UNION ALL SELECT doc_id, 1, md5(encode('updated ' || text)) FROM documents WHERE {_FIVE}")
 def pdf_aes(spark, d):
     """Streams of files encrypted by AES, opened with the owner's password."""
-    return pdf.parsed(_pdfs(spark, d, b"secret", cipher="aes").repartition(8, "file_id"), "streams", password=b"owner").select("file_id", "version", F.md5("decoded").alias("h"))
+    return pdf.parsed(_pdfs(spark, d, b"secret", cipher="aes"), "streams", password=b"owner").select("file_id", "version", F.md5("decoded").alias("h"))
 
 
 @query("SELECT doc_id AS file_id, CAST(unnest([1, 2, 3, 4, 5, 6, 8, 9]) AS INTEGER) AS object_id, unnest(['/Catalog', '/Pages', '/Page', '', '', '/Annot', '/ObjStm', '/XRef']) AS dict_type, CAST(unnest([8, 8, 8, -1, 8, 8, -1, -1]) AS INTEGER) AS compressed_in FROM documents")
