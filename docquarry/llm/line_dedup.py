@@ -56,11 +56,13 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(number.alias("id"), digest.alias("digest"), F.transform(_lines(text, sentences), lambda x: F.trim(x, F.lit(" \n"))).alias("keys"))
     found = rows.select("id", "digest", F.posexplode(_windows(F.col("keys"), width)).alias("at", "h")).select("id", "digest", "at", "h.h1", "h.h2")
     found = scratch.keep(found, "windows", compression="zstd")
-    often = found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
+    # counts are written before they are joined: a join whose sides are both dealt anew can split a frequent window
+    often = scratch.keep(found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "often")
     some = scratch.keep(found.join(often, "h1", "left_semi"), "repeated")
     scratch.drop(found)
     # rows equal in id and text are one place, and the first one if it is theirs
     first = some.groupBy("h1", "h2").agg(F.min(F.struct("id", "digest", "at")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = scratch.keep(first, "first")
     return some.join(first, ["h1", "h2"]).select("id", "digest", "at", ((F.col("id") == F.col("f.id")) & (F.col("digest") == F.col("f.digest")) & (F.col("at") == F.col("f.at"))).alias("first"))
 
 
