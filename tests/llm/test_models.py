@@ -1,6 +1,7 @@
 """Quality, toxicity, embeddings and language model against brute force or held-out labels."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -67,6 +68,64 @@ def test_discriminant_is_the_gaussian_difference():
     assert model.difference(probe) == pytest.approx(density(1) - density(0), rel=1e-6)
 
 
+def plain_statistics(text):
+    """The 17 statistics of a text, character by character over its UTF-8 bytes."""
+    data = [chr(b) for b in (text or "").encode()]
+    words = re.findall(r"[^ \t-\r]+", "".join(data))
+    if not words:
+        return [0.0] * 17
+    share = lambda part, whole: math.log((min(1, part / whole if whole else 0) + 0.002) / (1.002 - min(1, part / whole if whole else 0)))
+    n, size, counts = len(words), len(data), Counter(words)
+    lines = [x for x in "".join(data).split("\n") if re.search(r"[^ \t-\r]", x)]
+    signs = "#*%$&@^~=+_<>{}[]\\/|!?"
+    among = lambda letters: sum(c in letters for c in data)
+    return [
+        math.log(1 + n), math.log(sum(map(len, words)) / n), share(sum(len(w) > 16 for w in words), n), math.log(len(counts)) / math.log(n + 1),
+        share(max(counts.values()), n + 10), share(sum(x == y for x, y in zip(words, words[1:])), n),
+        share(sum("A" <= c <= "Z" for c in data), sum("A" <= c <= "Z" or "a" <= c <= "z" for c in data) + 10),
+        share(sum("0" <= c <= "9" for c in data), size), share(among(signs), size), share(among(".,;:"), size), share(sum(c >= "\x80" for c in data), size),
+        share(sum(w[-1] in signs for w in words), n), math.log(n / len(lines)), share(len(lines) - len(set(lines)), len(lines) + 2),
+        share(sum(x.rstrip(" \t\n\v\f\r")[-1:] in tuple(".!?") for x in lines), len(lines)),
+        math.log((len(zlib.compress("".join(data).encode("latin-1"), 1)) + 8) / (size + 64)), share(len(counts), n + 10),
+    ]
+
+
+def test_quality_against_brute_force(spark):
+    """The whole result from plain statistics, covariances, densities and a step-by-step calibration."""
+    rng = np.random.default_rng(4)
+    words = [f"word{i}" for i in range(200)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(5, 80)))) + ("." if i % 2 else "\nand\nand") for i in range(150)]
+    texts += [" ".join(rng.choice(["JUNK!!", "x#1", "buy", "buy", *words[:20]], int(rng.integers(3, 60)))) for _ in range(120)]
+    texts += [None, "", " \n ", "Ünï çödé " * 300, "lone"]
+    labels = {i: int(i < 150) if i % 17 else int(i >= 150) for i in range(270)}
+    found = {r.doc_id: r for r in quality.classify(frame(spark, texts).repartition(3), spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    x = np.array([plain_statistics(t) for t in texts])
+    train = np.array([i for i in labels if zlib.crc32(str(i).encode()) % 5])
+    y = np.array([labels[i] for i in train])
+    p, n = x.shape[1], np.array([(y == k).sum() for k in (0, 1)])
+    own = [np.cov(x[train[y == k]].T, bias=True) + 1e-6 * np.eye(p) for k in (0, 1)]
+    both = (n[0] * own[0] + n[1] * own[1]) / n.sum()
+    scale = np.sqrt(np.diag(both)) + 1e-3
+    density = []
+    for k in (0, 1):
+        lean = max(quality.POOLED, min(0.9, p / (p + n[k])))
+        c = ((1 - lean) * own[k] + lean * both) / np.outer(scale, scale)
+        c = (1 - quality.IDENTITY) * c + quality.IDENTITY * np.trace(c) / p * np.eye(p)
+        d = (x - x[train[y == k]].mean(axis=0)) / scale
+        density.append(math.log(n[k] / n.sum()) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))
+    z = density[1] - density[0]
+    zt = np.clip(z[train], -60, 60)
+    loss = lambda b: np.logaddexp(0, zt * b[0] + b[1]).sum() - (y * (zt * b[0] + b[1])).sum() + 0.005 * ((b[0] - 0.3) ** 2 + b[1] ** 2)
+    b, size = np.array([0.3, 0.0]), 0.5
+    while size > 1e-7:
+        steps = [b + size * np.array(d) for d in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1))]
+        best = min(steps, key=loss)
+        b, size = (best, size) if loss(best) < loss(b) else (b, size / 2)
+    for i in range(len(texts)):
+        assert found[i].score == pytest.approx(1 / (1 + math.exp(-np.clip(b[0] * z[i] + b[1], -40, 40))), abs=1e-4), i
+        assert found[i].predicted == int(found[i].score >= 0.3)
+
+
 # ---- toxicity
 
 
