@@ -158,3 +158,71 @@ def test_encrypted_round_trip():
     assert [u for o in f.objects for u in pdf._uris(o.value)] == ["http://example.org/(x)"]
     assert pdf_syntax.parse(data, password=b"owner").objects[3].decoded.startswith(b"BT")
     assert "password does not fit" in pdf_syntax.parse(data).errors
+
+
+def locked(*, metadata: bool, strings: str = "/StdCF") -> bytes:
+    """A file encrypted by AES with one metadata stream, one stream of its own Crypt filter, and a string."""
+    from docquarry.sources import pdf_crypto as pc
+
+    file_id = b"0123456789abcdef"
+    owner = pc.owner_entry(b"o", b"u", 4, 16)
+    key = pc.file_key(b"u", owner, -4, file_id, 4, 16, metadata)
+    hide = lambda n, data: bytes(16) + pc.aes_cbc_encrypt(data, pc.object_key(key, n, 0, True), bytes(16))
+    stream = lambda entries, data: f"<< {entries} /Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream"
+    secret = hide(4, b"title") if strings == "/StdCF" else b"title"
+    bodies = {
+        1: b"<< /Type /Catalog >>",
+        2: stream("/Type /Metadata", b"<x/>" if not metadata else hide(2, b"<x/>")),
+        3: stream("/Filter [ /Crypt ] /DecodeParms [ << /Name /Identity >> ]", b"as it is"),
+        4: f"<< /Title <{secret.hex()}> >>".encode(),
+        5: stream("", hide(5, b"hidden")),
+        6: f"<< /Filter /Standard /V 4 /R 4 /Length 128 /CF << /StdCF << /CFM /AESV2 >> >> /StmF /StdCF /StrF {strings} /EncryptMetadata {str(metadata).lower()} /P -4 /O <{owner.hex()}> /U <{pc.user_entry(key, file_id, 4).hex()}> >>".encode(),
+    }
+    out = b"%PDF-1.5\n" + b"".join(f"{n} 0 obj\n".encode() + b + b"\nendobj\n" for n, b in bodies.items())
+    return out + f"trailer\n<< /Root 1 0 R /Info 4 0 R /Encrypt 6 0 R /ID [ <{file_id.hex()}> <{file_id.hex()}> ] >>\nstartxref\n0\n%%EOF\n".encode()
+
+
+@pytest.mark.parametrize("metadata", [True, False])
+@pytest.mark.parametrize("strings", ["/StdCF", "/Identity"])
+def test_what_encryption_leaves_plain(metadata, strings):
+    f = pdf_syntax.parse(locked(metadata=metadata, strings=strings), password=b"u")
+    assert not f.errors
+    by_id = {o.object_id: o for o in f.objects}
+    assert [by_id[n].decoded for n in (2, 3, 5)] == [b"<x/>", b"as it is", b"hidden"]
+    assert by_id[4].entries["/Title"][1] == b"title"
+
+
+def test_compressed_files_read_like_plain_ones():
+    made = pdf_writer.build_compressed(b"BT (x) Tj ET", chain=["FlateDecode"], uri="http://example.org/", title="t")
+    f = pdf_syntax.parse(made)
+    plain = pdf_syntax.parse(small())
+    assert not f.errors and not [o for o in f.objects if o.errors]
+    assert {o.object_id: o.kind for o in f.objects if o.object_id < 7} == {o.object_id: o.kind for o in plain.objects}
+    assert len(pdf_syntax.parse(made, decode=False).objects) == len(f.objects)
+    assert all(made[at:].startswith(f"{n} 0 obj".encode()) for _, n, kind, at, _, _ in f.xref if kind == "used")
+
+
+def test_tables_of_one_parse_are_those_of_each(spark):
+    rows = [(i, bytearray(small(update=b"x" if i % 2 else None))) for i in range(5)] + [(9, bytearray(b"no pdf")), (10, None)]
+    files = spark.createDataFrame(rows, "file_id long, content binary").repartition(2)
+    for name, table in pdf.parsed_tables(files, tuple(pdf.SCHEMAS)).items():
+        one = pdf.parsed(files, name)
+        assert [(f.name, f.dataType) for f in table.schema] == [(f.name, f.dataType) for f in one.schema]
+        assert sorted(map(str, table.collect())) == sorted(map(str, one.collect())), name
+
+
+def test_files_and_events_of_a_stream(spark, tmp_path):
+    from docquarry.streaming import dropfolder
+
+    (tmp_path / "in").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "in" / f"{name}.pdf").write_bytes(small())
+    (tmp_path / "in" / "c.pdf").write_bytes(small(update=b"x"))
+    seen = dropfolder.first_seen(dropfolder.arriving(spark, str(tmp_path / "in"))).select("sha256")
+    seen.writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("seen").count() == 2
+    events = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 05:00:00", "a"), ("2024-01-02 01:00:00", "b")], "t string, event_type string").selectExpr("cast(t as timestamp) ts", "event_type")
+    events.write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))
+    dropfolder.event_counts(stream).writeStream.format("memory").queryName("counts").outputMode("update").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((str(r.start.date()), r.event_type, r.n) for r in spark.table("counts").collect()) == [("2024-01-01", "a", 2), ("2024-01-02", "b", 1)]

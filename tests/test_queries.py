@@ -2,6 +2,8 @@
 
 import duckdb
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from docquarry.functions import columns as c
 from docquarry.operators import graph, scan, versions
@@ -93,3 +95,31 @@ def test_reach_has_no_depth_limit(spark):
     assert found == {i: (i, i - 1 if i else None) for i in range(106)}
     with pytest.raises(ValueError, match="deeper"):
         graph.reach(edges, roots, max_depth=2)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.binary(max_size=60), st.binary(max_size=4), st.booleans())
+def test_xor_places_are_those_of_every_key(data, pattern, ignore_case):
+    low = bytes.lower if ignore_case else bytes
+    want = {k: at for k in range(256) if data and (at := low(scan.xored(data, bytes([k]))).find(low(pattern))) >= 0}
+    assert (scan._xor_finder(pattern, ignore_case)(data) if data else {}) == want
+
+
+def test_long_chains_are_reached(spark):
+    n = 120
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(None, 4), (4, None)], "src long, dst long")
+    found = graph.reach(edges, spark.createDataFrame([(0,), (None,)], "node long"))
+    assert {r.node: r.depth for r in found.collect()} == {i: i for i in range(n + 1)}
+
+
+def test_calls_by_other_names():
+    from docquarry.codecs import escapes
+
+    script = "var a = eval; b = a; c = unrelated; eval(1); b('x'); a (2); xeval(3); o.eval(4); a = b;"
+    assert sorted(escapes.calls_of(script, "eval")) == ["'x'", "1", "2"]
+
+
+def test_next_in_order_over_blocks(spark):
+    keys = [3, 9, 65530, 65540, 400000]
+    found = versions.next_in_order(spark.createDataFrame([(k,) for k in keys + keys], "k long"), "k", "after")
+    assert sorted((r.k, r.after) for r in found.collect()) == list(zip(keys, [*keys[1:], None]))
