@@ -29,6 +29,22 @@ def ids_by_version(objects: DataFrame, condition: Column | None = None) -> DataF
     return rows.groupBy("file_id", "version").agg(F.array_sort(F.collect_set("object_id")).alias("ids"))
 
 
+def listings(objects: DataFrame, streams: DataFrame, uris: DataFrame) -> DataFrame:
+    """Per file and version the ascending ids of its streams, of encoded, faulty and compressed objects, and of those with addresses."""
+    s = streams.select(*OBJECT, F.lit(True).alias("is_stream"), (F.size("filters") > 0).alias("is_encoded"), F.col("faulty").alias("is_faulty"))
+    u = uris.select(*OBJECT).distinct().withColumn("has_uri", F.lit(True))
+    joined = objects.join(s, OBJECT, "left").join(u, OBJECT, "left")
+    kinds = {"streams": F.col("is_stream"), "encoded": F.col("is_encoded"), "faulty": F.coalesce("is_faulty", F.lit(False)) | (F.size("errors") > 0), "compressed": F.col("compressed_in").isNotNull(), "uris": F.col("has_uri")}
+    return joined.groupBy("file_id", "version").agg(*[F.array_sort(F.collect_set(F.when(test, F.col("object_id")))).alias(name) for name, test in kinds.items()])
+
+
+def elements(entries: DataFrame, name: str, member: str) -> DataFrame:
+    """(file_id, version, object_id, value, has): the outermost element of a name, and whether the same dictionary has a member."""
+    outer = entries.where(F.col("path") == F.col("key"))
+    found = outer.groupBy(*OBJECT).agg(F.max(F.when(F.col("key") == name, F.col("value"))).alias("value"), F.max(F.col("key") == member).alias("has"))
+    return found.where("value is not null")
+
+
 def search_objects(objects: DataFrame, streams: DataFrame, needle: str, *, regex: bool = False) -> DataFrame:
     """Ids per version of the objects whose value or decoded stream holds a text."""
     text = streams.select(*OBJECT, F.decode("decoded", "ISO-8859-1").alias("stream_text"))

@@ -824,3 +824,43 @@ def tree_deep(spark, d):
     parts = table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").cast("long").alias("src"))
     edges = versions.next_in_order(parts, "src", "dst").where("dst is not null")
     return graph.reach(edges, parts.agg(F.min("src").alias("node"))).select("node", "depth")
+
+
+@query(f"SELECT doc_id AS file_id, CAST(CASE WHEN {_FIVE} THEN 1 ELSE 0 END AS INTEGER) AS version, 'stream' AS obj_type FROM documents")
+def pdf_object_lookup(spark, d):
+    """Object 4 of every file, as its newest version has it."""
+    found = analysis.latest_objects(pdf.parsed(_pdfs(spark, d), "objects")).where("object_id = 4")
+    return found.select("file_id", "version", "obj_type")
+
+
+@query(f"""SELECT doc_id AS file_id, v AS version, '4' AS streams, CASE WHEN v = 1 OR doc_id % 4 <> 0 THEN '4' ELSE '' END AS encoded, '' AS faulty, '' AS compressed, CASE WHEN v = 0 THEN '6' ELSE '' END AS uris
+    FROM (SELECT doc_id, CAST(unnest(CASE WHEN {_FIVE} THEN [0, 1] ELSE [0] END) AS INTEGER) AS v FROM documents)""")
+def pdf_listings(spark, d):
+    """Ids per version of streams, encoded, faulty and compressed objects, and of those with addresses."""
+    t = pdf.parsed_tables(_pdfs(spark, d), ("objects", "streams", "uris"))
+    found = analysis.listings(t["objects"], t["streams"], t["uris"])
+    return found.select("file_id", "version", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("streams", "encoded", "faulty", "compressed", "uris")])
+
+
+@query("SELECT doc_id AS file_id, CAST(unnest([1, 2, 3, 6]) AS INTEGER) AS object_id, unnest([false, false, true, false]) AS has_box, unnest(['/Catalog', '/Pages', '/Page', '/Annot']) AS type FROM documents")
+def pdf_elements(spark, d):
+    """A dictionary's element by its name, and whether it has one."""
+    entries = pdf.parsed(_pdfs(spark, d), "dict_entries")
+    return analysis.elements(entries, "/Type", "/MediaBox").select("file_id", "object_id", F.col("has").alias("has_box"), F.col("value").alias("type"))
+
+
+@query(f"SELECT doc_id AS file_id, CAST(6 + CASE WHEN {_FIVE} THEN 1 ELSE 0 END AS BIGINT) AS objects FROM documents WHERE NOT contains(text, 'endobj') AND NOT contains(text, ' obj')")
+def pdf_loose(spark, d):
+    """Objects whose ends are missing, read up to the next one's beginning."""
+    keep = table(spark, d, "documents").where("not contains(text, 'endobj') and not contains(text, ' obj')").select(F.col("doc_id").alias("file_id"))
+    files = _pdfs(spark, d).join(keep, "file_id").select("file_id", F.unhex(F.replace(F.hex("content"), F.lit("656E646F626A"), F.lit(""))).alias("content"))
+    return pdf.parsed(files, "objects", loose=True).groupBy("file_id").agg(F.count(F.lit(1)).alias("objects"))
+
+
+@query("SELECT item_id AS file_id, md5(encode(t)) AS h FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark)")
+def pdf_text(spark, d):
+    """The text that a page shows."""
+    plain = F.regexp_replace("text", "[^ -~]", "")
+    rows = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("BT ("), escapes.escape_string_col(plain), F.lit(") Tj ET")).alias("page"))
+    files = pdf.generated(rows.withColumn("item_id", F.col("item_id") * 5 + 1), file_id="item_id", payload="page", uri=F.lit("x"), title=F.lit("t"))
+    return pdf.parsed(files, "streams").select(((F.col("file_id") - 1) / 5).cast("long").alias("file_id"), F.md5(F.col("text").cast("binary")).alias("h"))
