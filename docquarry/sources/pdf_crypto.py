@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+
 from docquarry.sources.pdf_syntax import File, PdfError
 
 # fixed value: what fills a password up to 32 bytes
@@ -74,20 +76,29 @@ def _round_keys(key: bytes) -> list[bytes]:
     return [b"".join(words[i : i + 4]) for i in range(0, len(words), 4)]
 
 
+_INVERSE_ARRAY = np.array(_INVERSE, np.uint8)
+_M_ARRAYS = {k: np.frombuffer(v, np.uint8) for k, v in _M.items()}
+_UNSHIFT = np.array([(i - 4 * (i % 4)) % 16 for i in range(16)])
+
+
 def aes_cbc_decrypt(data: bytes, key: bytes, iv: bytes, unpad: bool = True) -> bytes:
-    keys, out = _round_keys(key), bytearray()
-    for at in range(0, len(data) - 15, 16):
-        block = data[at : at + 16]
-        s = bytes(a ^ b for a, b in zip(block, keys[-1], strict=True))
-        for r in range(len(keys) - 2, -1, -1):
-            s = bytes(_INVERSE[s[(i - 4 * (i % 4)) % 16]] ^ keys[r][i] for i in range(16))
-            if r:
-                s = b"".join(bytes(_M[14][c[i]] ^ _M[11][c[(i + 1) % 4]] ^ _M[13][c[(i + 2) % 4]] ^ _M[9][c[(i + 3) % 4]] for i in range(4)) for c in (s[0:4], s[4:8], s[8:12], s[12:16]))
-        out += bytes(a ^ b for a, b in zip(s, iv, strict=True))
-        iv = block
-    if unpad and out and 1 <= out[-1] <= 16 and out.endswith(bytes([out[-1]]) * out[-1]):
-        del out[-out[-1] :]
-    return bytes(out)
+    """All blocks side by side; bytes beyond the last whole block are left out."""
+    n = len(data) // 16
+    if not n:
+        return b""
+    keys = [np.frombuffer(k, np.uint8) for k in _round_keys(key)]
+    blocks = np.frombuffer(data, np.uint8, 16 * n).reshape(n, 16)
+    s = blocks ^ keys[-1]
+    for r in range(len(keys) - 2, -1, -1):
+        s = _INVERSE_ARRAY[s[:, _UNSHIFT]] ^ keys[r]
+        if r:
+            c = s.reshape(n, 4, 4)
+            s = (_M_ARRAYS[14][c] ^ _M_ARRAYS[11][np.roll(c, -1, axis=2)] ^ _M_ARRAYS[13][np.roll(c, -2, axis=2)] ^ _M_ARRAYS[9][np.roll(c, -3, axis=2)]).reshape(n, 16)
+    before = np.concatenate((np.frombuffer(iv.ljust(16, b"\x00")[:16], np.uint8)[None, :], blocks[:-1]))
+    out = (s ^ before).tobytes()
+    if unpad and 1 <= out[-1] <= 16 and out.endswith(bytes([out[-1]]) * out[-1]):
+        out = out[: -out[-1]]
+    return out
 
 
 def aes_cbc_encrypt(data: bytes, key: bytes, iv: bytes, pad: bool = True) -> bytes:
