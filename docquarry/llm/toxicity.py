@@ -46,8 +46,8 @@ PREFIX = 6
 BROADCAST_IDS = 1_000_000
 #: Parts into which counts per term are cut on their way, and tasks whose counts are added at once.
 SEGMENTS, TASKS = 64, 256
-#: Words that a worker remembers.
-REMEMBER = 300_000
+#: Words that a worker remembers, and rows that it scores before it hands them on.
+REMEMBER, SLICE = 150_000, 512
 
 # capitals to small letters, ASCII signs to spaces
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
@@ -400,7 +400,8 @@ def score_rows(docs: DataFrame, model: Voter | None, *, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voter = shared.value
-        for batch in batches:
+        # in slices, so that few texts are Python's at once
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             texts = batch.column(0).field(text_col).cast(pa.binary()).to_pylist() if inside else raw(batch, "text")
             found = voter.score(texts) if voter else [(0.0, [])] * batch.num_rows
             scores = [s for s, _ in found]
