@@ -271,6 +271,82 @@ def test_near_copies_go(spark):
     assert simhash.drop_near_copies(docs.where("false")).count() == 0
 
 
+def test_near_copies_lose_no_link(spark):
+    """Pairs of which most differ in 30 to 50 bits of 256: all within the distance are linked, and no others."""
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(900)]
+    texts = []
+    for _ in range(300):
+        base = list(rng.choice(words, 220))
+        copy = list(base)
+        for at in rng.choice(220, int(rng.integers(7, 13)), replace=False):
+            copy[at] = "changed"
+        texts += [" ".join(base), " ".join(copy)]
+    rows = list(enumerate(texts))
+    want = kept_brute(rows)
+    assert 330 < len(want) < 570
+    assert {r.doc_id for r in simhash.drop_near_copies(documents(spark, texts)).collect()} == want
+
+
+@pytest.mark.parametrize("chunk", [1 << 18, 90])
+def test_all_links_join_what_is_close(spark, chunk):
+    """Clouds around fingerprints, a chain and far ones; small chunks give many tiles."""
+    rng = np.random.default_rng(5)
+    whole = lambda: int.from_bytes(rng.bytes(32))
+    flipped = lambda v, n: v ^ sum(1 << int(b) for b in rng.choice(256, n, replace=False))
+    values = {whole() for _ in range(60)} | {0}
+    for most in (10, 23, 30):
+        base = whole()
+        values |= {flipped(base, int(rng.integers(0, most))) for _ in range(70)}
+    at = whole()
+    for n in (44, 44, 43, 45, 44, 46):
+        values.add(at)
+        at = flipped(at, n)
+    values = sorted(values | {at})
+    signed = [np.frombuffer(v.to_bytes(32), ">i8").tolist() for v in values]
+    df = spark.createDataFrame([(n, *v) for n, v in enumerate(signed)], "node long, f0 long, f1 long, f2 long, f3 long")
+    links = simhash.all_links(df, len(values), chunk_rows=chunk).collect()
+    assert all((values[r.a] ^ values[r.b]).bit_count() <= simhash.SIMILAR_DISTANCE for r in links)
+    frame = spark.createDataFrame(links, "a long, b long")
+    roots = {r.node: r.root for r in components.components(frame).collect()}
+    assert [roots.get(n, n) for n in range(len(values))] == groups_brute(values, simhash.SIMILAR_DISTANCE)
+    assert simhash.all_links(df.where("false"), 0, chunk_rows=chunk).count() == 0
+
+
+@pytest.mark.parametrize("setup", [0, 1 << 40])
+def test_a_tile_by_blocks_or_whole_spans_the_same(monkeypatch, setup):
+    """Far ones, pairs at 44 bits or fewer, sparse ones and clouds; groups by blocks, which large tiles take, and all pairs."""
+    monkeypatch.setattr(simhash, "_SETUP", setup)
+    rng = np.random.default_rng(8)
+
+    def flipped(values, n):
+        out = values.copy()
+        for row in out:
+            for b in rng.choice(256, n, replace=False):
+                row[b // 64] ^= np.uint64(1 << int(b % 64))
+        return out
+
+    far = rng.integers(-(2**63), 2**63 - 1, (900, 4)).view(np.uint64)
+    far[:150] &= far[150:300]
+    values = np.concatenate([far, flipped(far[:300], 44), flipped(far[200:300], 46), flipped(far[[7] * 90], 24), flipped(far[[8] * 90], 3), far[:1] * np.uint64(0)])
+    values = values[rng.permutation(len(values))]
+    near = np.bitwise_count(values[:, None] ^ values[None]).sum(axis=-1, dtype=np.uint32) <= simhash.SIMILAR_DISTANCE
+    for first in (len(values), len(values) // 3):
+        groups = simhash._groups(values, first, simhash.SIMILAR_DISTANCE)
+        assert (groups is None) == (setup > 0)
+        heads, tails = simhash._span(values, first, simhash.SIMILAR_DISTANCE)
+        assert near[heads, tails].all() and len(heads) < len(values)
+        label = np.arange(len(values))
+        for _ in range(len(values)):
+            before = label.copy()
+            np.minimum.at(label, heads, before[tails])
+            np.minimum.at(label, tails, before[heads])
+            if (label == before).all():
+                break
+        i, j = np.nonzero(near if first == len(values) else near & (np.arange(len(values)) < first)[:, None] & (np.arange(len(values)) >= first)[None])
+        assert len(i) > 400 and (label[i] == label[j]).all()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 10**13), st.lists(st.integers(0, 63), max_size=4))
 def test_close_pairs_share_a_key(n, flips):
