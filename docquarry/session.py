@@ -37,6 +37,23 @@ def spread(df):
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
+#: Rows, and bytes, that Python works on together.
+SLICE, SLICE_BYTES = 1024, 4 << 20
+
+
+def slices(batches):
+    """Arrow batches cut, without a copy, to SLICE rows and SLICE_BYTES at most (or one row), so that what Python makes of them is bounded however large the batches are."""
+    for batch in batches:
+        todo = [batch]
+        while todo:
+            part = todo.pop()
+            n = part.num_rows
+            if n > 1 and (n > SLICE or part.nbytes > SLICE_BYTES):
+                todo += [part.slice(n // 2), part.slice(0, n // 2)]
+            elif n:
+                yield part
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to workers of a session whose own path lacks it, once per session."""
     import os

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry import scratch
 from docquarry.codecs import filters
+from docquarry.session import slices
 from docquarry.sources import pdf_syntax, pdf_writer
 
 #: Files of a folder that one task of the data source reads.
@@ -91,19 +92,54 @@ def _uris(value, depth: int = 0) -> Iterator[str]:
 _STRUCTURE = {"files", "versions", "dict_entries", "xref_entries", "trailers", "uris"}
 #: Rows of a table, and bytes of streams, that are handed on together.
 _ROWS, _BYTES = 2000, 8 << 20
-_NUMBERS = ("compressed_in", "prev", "startxref", "root", "info", "declared_length", "size")
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
 def _names(table: str) -> list[str]:
     return [c.split(" ")[0] for c in SCHEMAS[table].split(", ")]
 
 
-def _frame(table: str, rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_names(table))
-    for c in _NUMBERS:
-        if c in out:
-            out[c] = out[c].astype("Int64")
-    return out
+def _array(values: tuple, kind: str) -> pa.Array:
+    """Numbers of a damaged file may be too wide: an int keeps its low bits, a long is null."""
+    try:
+        return pa.array(values, _TYPES[kind])
+    except (OverflowError, pa.ArrowInvalid):
+        if kind == "int":
+            values = [None if v is None else (v + (1 << 31)) % (1 << 32) - (1 << 31) for v in values]
+        elif kind == "long":
+            values = [v if v is None or -(1 << 63) <= v < 1 << 63 else None for v in values]
+        else:
+            raise
+        return pa.array(values, _TYPES[kind])
+
+
+def _batch(table: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [c.split(" ")[1] for c in SCHEMAS[table].split(", ")]
+    return pa.RecordBatch.from_arrays([_array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], _names(table))
+
+
+def _bytes_of(table: str, row: tuple) -> int:
+    """Of a stream's three forms; other rows are small, or bounded by their file."""
+    return len(row[3]) + len(row[4]) + len(row[9]) if table == "streams" else 0
+
+
+def _parts(batches: Iterator[pa.RecordBatch], tables: tuple[str, ...], how: dict) -> Iterator[tuple[str, list[tuple]]]:
+    """(table, rows) of the files of Arrow batches, at most some _ROWS or _BYTES at once."""
+    how = how | {"decode": not _STRUCTURE.issuperset(tables)}
+    rows, count, held = {t: [] for t in tables}, 0, 0
+    for part in slices(batches):
+        whole = part.filter(part.column(1).is_valid())
+        for file_id, f in zip(whole.column(0).to_pylist(), pdf_syntax.parse_many(whole.column(1).to_pylist(), **how), strict=True):
+            held += f.size
+            for t in tables:
+                for row in _rows(t, file_id, f):
+                    rows[t].append(row)
+                    count += 1
+                    held += _bytes_of(t, row)
+                    if count >= _ROWS or held >= _BYTES:
+                        yield from ((k, v) for k, v in rows.items() if v)
+                        rows, count, held = {k: [] for k in tables}, 0, 0
+    yield from ((k, v) for k, v in rows.items() if v)
 
 
 def _contents(files: DataFrame) -> DataFrame:
@@ -118,21 +154,13 @@ def parsed(files: DataFrame, table: str, *, strict: bool = False, loose: bool =
     files at once; streams are decoded for the tables that show them only.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, held = [], 0
-        for frame in frames:
-            for file_id, content in frame.itertuples(index=False):
-                if content is None:
-                    continue
-                rows += _rows(table, int(file_id), pdf_syntax.parse(bytes(content), strict=strict, loose=loose, password=password, limit=limit, decode=table not in _STRUCTURE))
-                held += len(content) if table == "streams" else 0
-                if len(rows) >= _ROWS or held >= _BYTES:
-                    yield _frame(table, rows)
-                    rows, held = [], 0
-        if rows:
-            yield _frame(table, rows)
+    how = {"strict": strict, "loose": loose, "password": password, "limit": limit}
 
-    return _contents(files).mapInPandas(run, SCHEMAS[table])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _parts(batches, (table,), how):
+            yield _batch(table, rows)
+
+    return _contents(files).mapInArrow(run, SCHEMAS[table])
 
 
 def parsed_tables(files: DataFrame, tables: tuple[str, ...], *, strict: bool = False, loose: bool = False, password: bytes = b"", limit: int = filters.LIMIT) -> dict[str, DataFrame]:
@@ -142,31 +170,15 @@ def parsed_tables(files: DataFrame, tables: tuple[str, ...], *, strict: bool = F
     so a reader of one table opens that table's files and columns only.
     """
     schema = "table string, " + ", ".join(f"{t} struct<{', '.join(c.replace(' ', ': ', 1) for c in SCHEMAS[t].split(', '))}>" for t in tables)
-    decode = not _STRUCTURE.issuperset(tables)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, held = [], 0
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["table", *tables])
-
-        for frame in frames:
-            for file_id, content in frame.itertuples(index=False):
-                if content is None:
-                    continue
-                f = pdf_syntax.parse(bytes(content), strict=strict, loose=loose, password=password, limit=limit, decode=decode)
-                for place, table in enumerate(tables):
-                    names = _names(table)
-                    for row in _rows(table, int(file_id), f):
-                        rows.append((table, *[None] * place, dict(zip(names, row, strict=True)), *[None] * (len(tables) - place - 1)))
-                held += len(content)
-                if len(rows) >= _ROWS or held >= _BYTES:
-                    yield out()
-                    rows, held = [], 0
-        if rows:
-            yield out()
-
-    kept = scratch.keep(_contents(files).mapInPandas(run, schema), "parsed", partition_by="table")
+    how = {"strict": strict, "loose": loose, "password": password, "limit": limit}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = {t: pa.struct([(n, _TYPES[c.split(" ")[1]]) for n, c in zip(_names(t), SCHEMAS[t].split(", "), strict=True)]) for t in tables}
+        for table, rows in _parts(batches, tables, how):
+            own = _batch(table, rows).to_struct_array()
+            yield pa.RecordBatch.from_arrays([pa.array([table] * len(rows)), *[own if t == table else pa.nulls(len(rows), shape[t]) for t in tables]], ["table", *tables])
+
+    kept = scratch.keep(_contents(files).mapInArrow(run, schema), "parsed", partition_by="table")
     return {t: kept.where(F.col("table") == t).select(f"{t}.*") for t in tables}
 
 
@@ -182,18 +194,19 @@ def generated(df: DataFrame, *, file_id: str, payload: str, uri: Column, title:
     compressed puts the objects into an object stream, with a cross-reference stream
     and no update; script adds one that the catalog opens.
     """
-    @F.pandas_udf("binary")
-    def make(i: pd.Series, p: pd.Series, u: pd.Series, t: pd.Series, s: pd.Series) -> pd.Series:
-        out = []
-        for k, b, x, y, code in zip(i, p, u, t, s, strict=True):
-            data, chain = (b or "").encode(), list(pdf_writer.CHAINS[k % 4])
-            if compressed:
-                out.append(pdf_writer.build_compressed(data, chain=chain, uri=x or "", title=y or ""))
-            else:
-                out.append(pdf_writer.build(data, chain=chain, uri=x or "", title=y or "", update=b"updated " + data if k % 5 == 0 else None, password=password, cipher=cipher, script=None if code is None else code.encode()))
-        return pd.Series(out, dtype=object)
-
-    return df.select(F.col(file_id).cast("long").alias("file_id"), make(file_id, payload, uri, title, script if script is not None else F.lit(None).cast("string")).alias("content"))
+    def made(rows: list[tuple]) -> list[bytes]:
+        if compressed:
+            return [pdf_writer.build_compressed((b or "").encode(), chain=list(pdf_writer.CHAINS[k % 4]), uri=x or "", title=y or "") for k, b, x, y, _ in rows]
+        return pdf_writer.build_many([{"payload": (data := (b or "").encode()), "chain": list(pdf_writer.CHAINS[k % 4]), "uri": x or "", "title": y or "", "update": b"updated " + data if k % 5 == 0 else None, "password": password, "cipher": cipher, "script": None if code is None else code.encode()} for k, b, x, y, code in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            rows = list(zip(*[c.to_pylist() for c in part.columns], strict=True))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made(rows), pa.binary())], ["file_id", "content"])
+
+    code = script if script is not None else F.lit(None)
+    inputs = df.select(F.col(file_id).cast("long").alias("file_id"), F.col(payload).cast("string").alias("payload"), uri.cast("string").alias("uri"), title.cast("string").alias("title"), code.cast("string").alias("script"))
+    return inputs.mapInArrow(run, "file_id long, content binary")
 
 
 def register(spark: SparkSession) -> None:
