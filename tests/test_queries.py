@@ -123,3 +123,24 @@ def test_next_in_order_over_blocks(spark):
     keys = [3, 9, 65530, 65540, 400000]
     found = versions.next_in_order(spark.createDataFrame([(k,) for k in keys + keys], "k long"), "k", "after")
     assert sorted((r.k, r.after) for r in found.collect()) == list(zip(keys, [*keys[1:], None]))
+
+
+def test_deep_graphs_take_few_rounds(spark, monkeypatch):
+    """A chain, with a tree and shortcuts hanging below it and a circle that nothing leads into, against a plain search."""
+    from docquarry import scratch
+
+    n, written = 700, []
+    edges = [(i, i + 1) for i in range(n)] + [(n - i % 7, n + 1 + i) for i in range(40)] + [(300, 650), (40, 20), (680, 690), (681, 690)] + [(5000 + i, 5000 + (i + 1) % 5) for i in range(5)]
+    want, frontier = {0: (0, None)}, [0]
+    while frontier:
+        new = {}
+        for a, b in edges:
+            if a in frontier and b not in want:
+                new[b] = min(a, new.get(b, a))
+        want |= {b: (want[a][0] + 1, a) for b, a in new.items()}
+        frontier = list(new)
+    keep = scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda *a, **b: written.append(1) or keep(*a, **b))
+    found = graph.reach(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(0,)], "node long"))
+    assert {r.node: (r.depth, r.parent) for r in found.collect()} == want
+    assert len(written) < 60  # a table for each of some 400 steps before
