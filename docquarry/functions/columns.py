@@ -152,5 +152,10 @@ def sing_font(data: Column) -> Column:
     return F.coalesce((F.octet_length(data) > 327) & (F.hex(F.substring(data, 237, 4)) == "53494E47") & (F.hex(F.substring(data, 328, 1)) != "00"), F.lit(False))
 
 
+def font_program(data: Column) -> Column:
+    """Begins as a TrueType or OpenType font, or a collection of them, does; tables such as SING lie in nothing else."""
+    return F.coalesce(F.hex(F.substring(data, 1, 4)).isin("00010000", "4F54544F", "74727565", "74746366"), F.lit(False))
+
+
 def bmp_rle(text: Column, token: str, more_than: int) -> Column:
     return F.coalesce(occurrences(text, token) > more_than, F.lit(False))

@@ -69,12 +69,12 @@ def distinct_code(scripts: DataFrame) -> DataFrame:
 
 
 def findings(objects: DataFrame, streams: DataFrame, scripts: DataFrame) -> DataFrame:
-    """(file_id, version, object_id, category, token): marker rules on values, script rules on code, and two stream heuristics."""
+    """(file_id, version, object_id, category, token): marker rules on values, script rules on code, and two stream heuristics: an overlong SING table in a font, and the bitmap token too often."""
     values = [(k, t, b) for k, t, b, _, _ in known.rule_rows() if k != "js_vuln"]
     code = [(k, t, b) for k, t, b, _, _ in known.rule_rows() if k == "js_vuln"]
     plain = scan.marker_scan(objects.select(*OBJECT, "value"), values, content="value").drop("value")
     script = scan.marker_scan(scripts.select(*OBJECT, "code"), code, content="code").drop("code")
-    token = F.when(c.sing_font(F.col("decoded")), F.lit(known.SING_FONT)).when(c.bmp_rle(F.decode("decoded", "ISO-8859-1"), known.BMP_RLE_TOKEN, known.BMP_RLE_MORE_THAN), F.lit(known.BMP_RLE))
+    token = F.when(c.sing_font(F.col("decoded")) & c.font_program(F.col("decoded")), F.lit(known.SING_FONT)).when(c.bmp_rle(F.decode("decoded", "ISO-8859-1"), known.BMP_RLE_TOKEN, known.BMP_RLE_MORE_THAN), F.lit(known.BMP_RLE))
     odd = streams.select(*OBJECT, F.lit("element").alias("category"), token.alias("token")).where("token is not null")
     return plain.unionByName(script).unionByName(odd).distinct()
 

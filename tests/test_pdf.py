@@ -254,3 +254,15 @@ def test_files_and_events_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))
     dropfolder.event_counts(stream).writeStream.format("memory").queryName("counts").outputMode("update").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((str(r.start.date()), r.event_type, r.n) for r in spark.table("counts").collect()) == [("2024-01-01", "a", 2), ("2024-01-02", "b", 1)]
+
+
+def test_only_fonts_have_a_sing_table(spark):
+    """Prose with these four letters at byte 236 is no font; fonts of each kind are marked."""
+    from docquarry.operators import analysis
+
+    body = b"SING" + b"y" * 100
+    streams = [b"x" * 236 + body, *[(head + b"x" * 236)[:236] + body for head in (b"\x00\x01\x00\x00", b"OTTO", b"true", b"ttcf")]]
+    rows = [(i, bytearray(pdf_writer.build(s, chain=["FlateDecode"], uri="u"))) for i, s in enumerate(streams)]
+    t = pdf.parsed_tables(spark.createDataFrame(rows, "file_id long, content binary"), ("objects", "dict_entries", "streams"))
+    found = analysis.findings(t["objects"], t["streams"], analysis.javascript(t["objects"], t["dict_entries"], t["streams"]))
+    assert sorted((r.file_id, r.object_id, r.token) for r in found.collect()) == [(i, 4, "CoolType.SING.uniqueName") for i in (1, 2, 3, 4)]
