@@ -123,3 +123,34 @@ def test_jj_comes_back(text, name):
 
     assert jj_decode("x=1;" + jj_encode(text, name)) == text
     assert jj_decode(text) is None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="/#\\\\07aAé\u012f\U0001f600 \n", max_size=200), st.integers(0, 60))
+def test_escapes_by_arrays_are_those_by_characters(text, more):
+    import re
+
+    for t in (text, text + "\\377\\456" * more, "#41#fF" * more + "/" + text):
+        assert escapes.encode_octal(t) == "".join(f"\\{ord(c) & 255:03o}" for c in t)
+        assert escapes.encode_name(t) == "".join(c if c == "/" else f"#{ord(c) & 255:02x}" for c in t)
+        for x in (t, escapes.encode_octal(t), escapes.encode_name(t)):
+            assert escapes.decode_octal(x) == re.sub(r"\\([0-7]{1,3})", lambda m: chr(int(m[1], 8) & 255), x)
+            assert escapes.decode_name(x) == re.sub("#([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), x)
+        assert escapes.unescape_string(escapes.escape_string(t)) == t
+
+
+def test_python_holds_slices_of_large_batches():
+    import pyarrow as pa
+
+    from docquarry.session import SLICE, SLICE_BYTES, slices
+
+    texts = ["x" * 100] * 5000 + ["y" * 1_000_000] * 9 + ["z" * (SLICE_BYTES + 1), None]
+    parts = list(slices([pa.record_batch([pa.array(texts)], ["t"]), pa.record_batch([pa.array([], pa.string())], ["t"])]))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows <= SLICE and (p.nbytes <= SLICE_BYTES or p.num_rows == 1) for p in parts)
+
+
+def test_mapped_texts(spark):
+    df = spark.createDataFrame([(1, "a/é"), (2, None), (3, "")], "id long, t string")
+    found = escapes.mapped(df, ["id"], up=("t", [str.upper]), twice=("t", [escapes.encode_name, escapes.decode_name]))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "A/É", "a/é"), (2, None, None), (3, "", "")]
