@@ -266,3 +266,32 @@ def test_only_fonts_have_a_sing_table(spark):
     t = pdf.parsed_tables(spark.createDataFrame(rows, "file_id long, content binary"), ("objects", "dict_entries", "streams"))
     found = analysis.findings(t["objects"], t["streams"], analysis.javascript(t["objects"], t["dict_entries"], t["streams"]))
     assert sorted((r.file_id, r.object_id, r.token) for r in found.collect()) == [(i, 4, "CoolType.SING.uniqueName") for i in (1, 2, 3, 4)]
+
+
+def test_objects_without_ends_take_time_in_proportion():
+    import time
+
+    data = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n<< /Type /Page /Contents 4 0 R /Box [ 0 0 9 ] >>\n" % i for i in range(1, 40001)) + b"%%EOF\n"
+    start = time.process_time()
+    f = pdf_syntax.parse(data)
+    assert len(f.objects) == 40000 and f.objects[-1].entries["/Contents"] == ("reference", (4, 0))
+    assert time.process_time() - start < 4  # each object searched the rest of the file for an end
+
+
+def test_tables_are_handed_on_by_what_they_hold():
+    """Streams that decode to far more than their files do not pile up."""
+    import pyarrow as pa
+
+    files = [pdf_writer.build(bytes([i]) * (1 << 20), chain=["FlateDecode"], uri="u") for i in range(40)]
+    batch = pa.record_batch([pa.array([*range(40), 99]), pa.array([*files, None], pa.binary())], ["file_id", "content"])
+    parts = list(pdf._parts(iter([batch]), ("objects", "streams"), {}))
+    assert max(sum(pdf._bytes_of(t, r) for r in rows) for t, rows in parts) <= pdf._BYTES + (2 << 20)
+    assert sorted(r[0] for t, rows in parts if t == "streams" for r in rows) == list(range(40))
+    assert sum(len(rows) for t, rows in parts if t == "objects") == 240
+
+
+def test_numbers_too_wide_fail_no_job(spark):
+    body = b"%PDF-1.4\n9999999999 0 obj\n<< /A 1 >>\nendobj\ntrailer\n<< /Size 99999999999999999999 /Root 1 0 R >>\nstartxref\n0\n%%EOF\n"
+    files = spark.createDataFrame([(1, bytearray(body))], "file_id long, content binary")
+    assert pdf.parsed(files, "trailers").first()["size"] is None
+    assert pdf.parsed(files, "objects").first()["object_id"] == 9999999999 - (2 << 32)
